@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,9 +26,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_rules as rules
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = rules.train(docs, _table(spark, sf_dir, "labels"))
+    out = rules.verdicts(docs, learned)
+    return out.select(
+        "doc_id", *[f"_stats.{n}" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        F.col("_stats_failed").alias("base_failed"), F.col("_stats_kept").alias("kept"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 

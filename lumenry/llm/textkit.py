@@ -128,11 +128,12 @@ class Words:
         self.hash = mix(np.add.reduceat(codes, compact) + length.astype(np.uint64))
 
 
-def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of each k-word window; shorter documents give one window of all their words."""
+def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, index of the first word) of each k-word window; shorter
+    documents give one window of all their words."""
     h, n = words.hash, np.diff(words.first)
     if not len(h):
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     total = np.zeros(len(h), dtype=np.uint64)
     left = np.repeat(words.first[1:], n) - np.arange(len(h))  # words from here to the end
     factor = np.uint64(1)
@@ -144,7 +145,7 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         factor = np.uint64((int(factor) * 0x9FB21C651E98DF25) & _MASK)
     keep = left >= k
     keep[words.first[:-1][(n > 0) & (n < k)]] = True
-    return mix(total[keep] + np.uint64(k)), words.row[keep]
+    return mix(total[keep] + np.uint64(k)), words.row[keep], np.flatnonzero(keep)
 
 
 def distinct(hash_: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,3 +155,20 @@ def distinct(hash_: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray
     keep = np.ones(len(hash_), dtype=bool)
     keep[1:] = (hash_[1:] != hash_[:-1]) | (row[1:] != row[:-1])
     return hash_[keep], row[keep]
+
+
+def append_struct(df, name: str, fields: str, compute):
+    """df with a struct column ``name`` that ``compute(text array) -> list of
+    arrays`` derives from its text column; every other column passes through.
+    A narrow Arrow stage."""
+    at = df.columns.index("text")
+    names = df.columns
+
+    def run(batches):
+        for batch in batches:
+            parts = compute(batch.column(at))
+            struct = pa.StructArray.from_arrays([a for _, a in parts], names=[n for n, _ in parts])
+            yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*names, name])
+
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(run, f"{plain}, `{name}` struct<{fields}>")
