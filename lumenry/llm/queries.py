@@ -26,6 +26,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontamination as d
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = d.scan(docs, _table(spark, sf_dir, "benchmark"))
+    items = F.col("_found.items")
+    return out.select(
+        "doc_id", "_found.n_words", d.n_hit().alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"), d.contaminated().alias("contaminated"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules as rules
 
@@ -41,6 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op10_quality_rules": op10_quality_rules,
     }
 
