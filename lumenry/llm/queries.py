@@ -38,6 +38,13 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    out = extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), name="text")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules as rules
 
@@ -54,6 +61,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op9_html_extraction": op9_html_extraction,
         "op10_quality_rules": op10_quality_rules,
     }
 
