@@ -193,6 +193,30 @@ def labelled_pages() -> tuple[str, ...]:
     )
 
 
+def varied_pages(n: int = 48, seed: int = 5) -> list[str]:
+    """More labelled pages: random lengths of paragraphs in the layouts above."""
+    rng = np.random.default_rng(seed)
+    made = []
+    for i in range(n):
+        at = int(rng.integers(1 << 20))
+        length = lambda: int(rng.choice((1, 2, 4, 9, 18, 40, 80)))  # noqa: B023, E731
+        body = "".join(f"<p>¶{_sentences(length(), at + j)}</p>" for j in range(int(rng.integers(2, 8))))
+        beside = [
+            f"<nav><ul>{_links(length() % 9 + 1, at + 20)}</ul></nav>",
+            f'<div class="{rng.choice(("ad", "promo", "cookie-banner", "sidebar", "comments", "related"))}"><p>{_sentences(length(), at + 21)}</p></div>',
+            f"<footer>{_sentences(length(), at + 22)}</footer>",
+            f"<ul>{_links(length() % 9 + 1, at + 23)}</ul>",
+            f"<form><p>{_sentences(length(), at + 24)}</p></form>",
+        ]
+        if i % 2:  # with an article, plain text outside it is beside it
+            body = f"<article><h1>¶{_sentences(4, at + 25)}</h1>{body}</article>"
+            beside.append(f"<div><p>{_sentences(length(), at + 26)}</p></div>")
+        rng.shuffle(beside)
+        cut = int(rng.integers(len(beside)))
+        made.append("".join(beside[:cut][:3]) + body + "".join(beside[cut:][: int(rng.integers(3))]))
+    return made
+
+
 class Tree:
     """A classification tree grown by Gini impurity."""
 
@@ -246,7 +270,7 @@ class Tree:
 @lru_cache(maxsize=1)
 def trained_tree() -> Tree:
     xs, ys = [], []
-    for page in labelled_pages():
+    for page in (*labelled_pages(), *varied_pages()):
         blocks = flat_blocks(page)
         ys += [b[0].startswith("¶") for b in blocks]
         xs.append(block_features(blocks))
