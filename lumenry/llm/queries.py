@@ -38,6 +38,12 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
@@ -67,6 +73,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op5_source_mixing": op5_source_mixing,
         "op8_warc": op8_warc,
         "op9_html_extraction": op9_html_extraction,
         "op10_quality_rules": op10_quality_rules,
