@@ -26,6 +26,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    out = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.train(spark))
+    count = lambda k: F.size(F.filter("_base", lambda c: c["k"] == pii.KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return out.select(
+        "doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.named(F.col("_base")), 256).alias("base_sha256"), pii.named(pii.all_spans()).alias("spans"),
+    )
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontamination as d
 
@@ -72,6 +82,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_pii": op2_pii,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_source_mixing": op5_source_mixing,
         "op8_warc": op8_warc,
