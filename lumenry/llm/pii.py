@@ -79,7 +79,7 @@ def _find(df: DataFrame, name: str, pattern: str, needs: str | None, text: str)
     total = lambda a: F.aggregate(a, F.lit(0), lambda t, x: t + x)
     df = df.withColumn(g, full(v, F.transform(F.split(F.col(text), pattern, -1), F.length)))
     step = lambda x, i: F.get(F.col(g), i) + F.when(i > 0, F.length(F.get(F.col(v), i - 1))).otherwise(0)
-    df = df.withColumn(d, full(v, F.transform(F.col(v), step)))
+    df = df.withColumn(d, full(g, F.transform(F.col(v), step)))
     df = df.withColumn(b, full(d, F.transform(F.sequence(F.lit(0), F.floor((F.size(d) - 1) / 256).cast("int")), lambda k: total(F.slice(d, k * 256 + 1, F.lit(256))))))
     before = lambda i: total(F.slice(b, F.lit(1), F.floor(i / 256).cast("int")))
     start = F.transform(F.col(d), lambda x, i: before(i) + total(F.slice(d, i - i % 256 + 1, i % 256 + 1)))
