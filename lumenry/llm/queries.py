@@ -54,6 +54,12 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import join
+
+    return join(_table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
@@ -85,6 +91,7 @@ def queries() -> dict[str, Query]:
         "op2_pii": op2_pii,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_source_mixing": op5_source_mixing,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_warc": op8_warc,
         "op9_html_extraction": op9_html_extraction,
         "op10_quality_rules": op10_quality_rules,

@@ -30,4 +30,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def size_of(df: DataFrame) -> int:
     """Catalyst's estimate of df's bytes; for file sources, the files' size.  No job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
