@@ -36,6 +36,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_lm import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontamination as d
 
@@ -89,6 +95,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_pii": op2_pii,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_source_mixing": op5_source_mixing,
         "op7_jaccard_join": op7_jaccard_join,
