@@ -316,3 +316,24 @@ def join(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT) -> DataFram
     able = able.join(least, F.col("comp") == F.col("_comp")).select("doc_id", "n_shingles", "component_id")
     alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return able.unionByName(alone)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs less all but one of each component: the smallest doc_id's, once.
+
+    A row without doc_id goes by a hash of its text, above all ids that there are
+    likely to be; so a component keeps a row that has an id, if any has.
+    """
+    columns = [f"`{c}`" for c in docs.columns]
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    nameless = F.lit(2**62) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
+    keyed = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), nameless))
+    found = join(keyed.select(F.col(name).alias("doc_id"), "text"))
+    found = written(found.select(F.col("doc_id").alias("_id"), "component_id"), "jaccard-components")
+    goes = found.where("_id <> component_id").select("_id").distinct()
+    stays = keyed.join(goes, F.col(name) == F.col("_id"), "left_anti")
+    if not found.where("_id = component_id").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        stays = stays.dropDuplicates([name, "text"])
+    return stays.select(*columns)
