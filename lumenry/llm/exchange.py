@@ -16,15 +16,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import size_of
-
-#: Bytes of input files for one block and for one shard.
+#: Bytes of text for one block, and for one shard.
 BLOCK_BYTES = 12 << 20
 
 
 def parts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     """How many blocks (and shards) the documents make."""
-    return max(1, min(1 << 20, -(-size_of(docs) // block_bytes)))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, min(1 << 20, -(-size // block_bytes)))
 
 
 def block_of(n: int) -> Column:

@@ -27,7 +27,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def size_of(df: DataFrame) -> int:
-    """Catalyst's estimate of df's bytes; for file sources, the files' size.  No job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
