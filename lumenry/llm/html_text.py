@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import memory  # noqa: F401  freed arrays go back to the system
+
 # HTML's element names by what they mean for the flow of text.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"

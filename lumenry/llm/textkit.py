@@ -14,6 +14,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from . import memory  # noqa: F401  freed arrays go back to the system
+
 PIECE = 2 << 20
 
 _MASK = (1 << 64) - 1

@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import memory  # noqa: F401  freed buffers go back to the system
 from .workspace import written
 
 LEAST = 100
