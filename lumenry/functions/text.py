@@ -82,7 +82,7 @@ def is_entrypoint(path: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines as an array: a final newline adds none, a carriage return before a newline goes."""
-    cut = F.split(F.regexp_replace(text, r"\n\z", ""), r"\r?\n", -1)
+    cut = F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n", -1)
     return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(cut)
 
 

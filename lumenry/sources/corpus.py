@@ -33,7 +33,8 @@ def relative(path: Column, root: str) -> Column:
 
 
 def walk(spark: SparkSession, root: str, *, ignore: tuple[str, ...] = (), max_bytes: int = MAX_TEXT) -> DataFrame:
-    """Files below root that may be indexed: (path, size, mtime, too_large).
+    """Files below root that may be indexed: (path, size, mtime, too_large).  Spark's
+    file sources pass over empty files.
 
     The content column is not read.  ignore: globs of paths left out, as an
     ignore file lists them.
