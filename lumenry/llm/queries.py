@@ -60,6 +60,18 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    out = scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = F.col("_licenses")
+    place = lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"))
+    return out.select(
+        "doc_id", F.size(found).cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda m: m["license"]))), ",").alias("licenses"),
+        F.array_join(F.transform(F.array_sort(F.transform(found, lambda m: F.struct(m["start"], m["license"], m["end"]))), place), ",").alias("spans"),
+    )
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import join
 
@@ -98,6 +110,7 @@ def queries() -> dict[str, Query]:
         "op3_lm_scoring": op3_lm_scoring,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_source_mixing": op5_source_mixing,
+        "op6_license_scan": op6_license_scan,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_warc": op8_warc,
         "op9_html_extraction": op9_html_extraction,
