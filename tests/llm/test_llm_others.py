@@ -269,6 +269,7 @@ COLUMNS = {
     "op3_": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     "op4_": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     "op5_": ["doc_id", "size", "source_size", "target", "taken"],
+    "op6_": ["doc_id", "n_matches", "licenses", "spans"],
     "op7_": ["doc_id", "n_shingles", "component_id"],
     "op8_": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
     "op9_": ["page_id", "url", "text", "n_chars"],
@@ -295,3 +296,56 @@ def test_pipeline(spark):
         kept = spark.createDataFrame(out.collect(), docs.schema)
     ids = sorted(r.doc_id for r in kept.collect())
     assert sorted(r.doc_id for r in P.run(spark, SF).collect()) == ids and 0 < len(ids) < docs.count()
+
+
+# ---- licenses ---------------------------------------------------------------------------
+
+
+def notices(text):
+    """template: (contained, start, end) of the best window of the template's own size."""
+    from lumenry.llm import licenses as L
+
+    w = L.template_words(text or "")
+    sh = [" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+    out = {}
+    for k, (_, t) in enumerate(L.TEMPLATES):
+        mine = [" ".join(x) for x in L._shingle_words(t)]
+        n, every = len(mine), set(mine)
+        for s in range(max(1, len(sh) - n + 1)):
+            held = len(every & set(sh[s : s + n])) / len(every)
+            if held >= 0.8 and held > out.get(k, (0,))[0]:
+                out[k] = (held, s, s + n + 4)
+    return out
+
+
+def test_license_anchors_lose_nothing():
+    from lumenry.llm import licenses as L
+
+    marks = set(L.anchors())
+    for _, t in L.TEMPLATES:
+        sets = [set(x) for x in {tuple(x) for x in L._shingle_words(t)}]
+        assert sum(not s & marks for s in sets) < 0.8 * len(sets)
+
+
+def test_license_scan(spark):
+    from lumenry.llm import licenses as L
+
+    rnd = random.Random(1)
+    rows = []
+    for i in range(200):
+        w = rnd.choice(L.TEMPLATES)[1].split()
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            w[rnd.randrange(len(w))] = "zz"
+        around = " ".join(rnd.choice(["foo", "license", "bar", "software", "the"]) for _ in range(rnd.randint(0, 40)))
+        rows.append((i, f"{around} {' '.join(w)} {around}"))
+    rows += [(1000, None), (1001, ""), (1002, "license"), (1003, "released under the mit license"), (1003, "released under the mit license")]
+    df = spark.createDataFrame(rows, DOCS).withColumn("_licenses", F.lit("clash"))
+    got = [(r.text, {m.template: m for m in r.found}) for r in L.scan(df, name="found").collect()]
+    assert len(got) == len(rows)
+    for text, found in got:
+        want = notices(text)
+        assert set(found) <= set(want)
+        for k in set(want) - set(found):  # only what a better match overlaps is left out
+            c, s, e = want[k]
+            assert any(want[o][0] > c and want[o][1] < e and want[o][2] > s for o in found)
+    assert L.scan(df.limit(0), name="found").count() == 0
