@@ -234,3 +234,23 @@ def citations_valid(answers: DataFrame, hits: DataFrame) -> DataFrame:
     held = cited.join(h, (F.col("path") == F.col("_p")) & (F.col("_s") <= F.col("first")) & (F.col("_e") >= F.col("last")), "left")
     one = held.groupBy("answer_id", "n").agg(F.max(F.col("_p").isNotNull()).alias("good"))
     return one.groupBy("answer_id").agg((F.min(F.col("good") & F.col("n").isNotNull())).alias("valid"), F.count("n").alias("citations"))
+
+
+def answer(lines: DataFrame) -> DataFrame:
+    """One answer per run of JSON lines (run, n, line): the last ``result`` or ``answer``, else the
+    assistant's texts in order."""
+    got = lines.select(
+        "run", "n", F.coalesce(F.get_json_object("line", "$.result"), F.get_json_object("line", "$.answer")).alias("final"),
+        F.when(F.get_json_object("line", "$.role") == "assistant", F.get_json_object("line", "$.text")).alias("said"),
+    )
+    one = got.groupBy("run").agg(
+        F.max(F.when(F.col("final").isNotNull(), F.struct("n", "final"))).alias("last"),
+        F.array_sort(F.collect_list(F.when(F.col("said").isNotNull(), F.struct("n", "said")))).alias("all"),
+    )
+    return one.select("run", F.coalesce("last.final", F.array_join(F.transform("all", lambda x: x["said"]), "\n")).alias("answer"))
+
+
+def find_keys(payload: Column, keys: tuple[str, ...]) -> Column:
+    """The first value of any of some keys, at any depth, in the order of the text."""
+    names = "|".join(re.escape(k) for k in keys)
+    return F.nullif(F.regexp_extract(payload, rf'"(?:{names})"\s*:\s*("(?:[^"\\]|\\.)*"|[-+.eE0-9]+|true|false|null)', 1), F.lit(""))

@@ -145,3 +145,37 @@ def hubs(nodes: DataFrame, links: DataFrame, top: int = 10) -> DataFrame:
     ranked = pagerank(nodes, links).join(indegree, F.col("node") == F.col("dst"), "left").select("node", "rank", F.coalesce("indegree", F.lit(0)).cast("long").alias("indegree"))
     some = ranked.where((F.col("indegree") > 0) | (F.col("rank") > 1.0 / max(n, 1)))
     return some.orderBy(F.col("rank").desc(), "node").limit(top).select("node", F.round("rank", 5).alias("rank"), "indegree")
+
+
+# ---- references from outside (a language server, an index) -------------------------------
+
+
+def pick_for_enrichment(symbols: DataFrame, limit: int) -> DataFrame:
+    """Symbols to ask references for: no variables; tests last, functions before methods, path, line."""
+    order = ["is_test", (F.col("kind") == "method"), "path", "start"]
+    return symbols.where("kind <> 'variable'").orderBy(*order).limit(limit)
+
+
+def store_references(edges: DataFrame, refs: DataFrame, files: DataFrame) -> DataFrame:
+    """edges with the outside references of some files replaced by refs (src_symbol_id, dst_name,
+    dst_symbol_id, file_id, line): once each, kind ref, full confidence."""
+    gone = files.select("file_id").distinct()
+    keep = edges.where("source <> 'lsp'").unionByName(edges.where("source = 'lsp'").join(gone, "file_id", "left_anti"))
+    new = refs.dropDuplicates(["src_symbol_id", "dst_name", "file_id", "line"])
+    new = new.withColumns({"kind": F.lit("ref"), "source": F.lit("lsp"), "confidence": F.lit(1.0)})
+    return keep.unionByName(new, allowMissingColumns=True)
+
+
+def with_homonyms(hits: DataFrame, definitions_of: DataFrame) -> DataFrame:
+    """hits (query, ...) with the definitions of queries that have more than one put first."""
+    many = definitions_of.groupBy("query").agg(F.count("*").alias("_n")).where("_n > 1").select("query")
+    first = definitions_of.join(many, "query", "left_semi").withColumn("stage", F.lit(0))
+    return first.unionByName(hits.withColumn("stage", F.lit(1)), allowMissingColumns=True)
+
+
+def file_ranks(hits: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Position of each file by its best hit: kind priority, score, path."""
+    by = by or []
+    best = hits.groupBy(*by, "path").agg(F.min(F.struct("prio", (-F.round(F.col("score") * 1e6)).alias("neg"), "path")).alias("best"))
+    w = Window.partitionBy(*by).orderBy("best")
+    return best.withColumn("place", F.row_number().over(w)).select(*by, "path", "place")

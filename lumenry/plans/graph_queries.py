@@ -222,3 +222,55 @@ def repo_state_digest(spark, sf):
     o = corpus.table(spark, sf, "orders").where("o_orderkey % 5 = 0")
     f = o.select(F.col("o_orderstatus").alias("status"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"), F.md5("o_orderpriority").alias("content_hash"))
     return gen.state_digest(f, ["status"])
+
+
+# ---- outside references, homonyms, file ranks --------------------------------------------
+
+
+@query("SELECT s_suppkey AS symbol_id FROM supplier WHERE s_suppkey % 5 <> 0 ORDER BY s_suppkey % 3 = 0, s_suppkey % 2 = 0, 'f' || s_nationkey, s_suppkey LIMIT 20")
+def lsp_symbol_selection(spark, sf):
+    s = corpus.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("symbol_id"), (F.col("s_suppkey") % 3 == 0).alias("is_test"), F.col("s_suppkey").alias("start"), F.concat(F.lit("f"), F.col("s_nationkey").cast("string")).alias("path"),
+        F.when(F.col("s_suppkey") % 5 == 0, "variable").when(F.col("s_suppkey") % 2 == 0, "method").otherwise("function").alias("kind"),
+    )
+    return graph.pick_for_enrichment(s, 20).select("symbol_id")
+
+
+@query(
+    "WITH e AS (SELECT l_orderkey AS file_id, l_linenumber AS line, l_suppkey AS dst, CASE WHEN l_partkey % 2 = 0 THEN 'lsp' ELSE 'parser' END AS source FROM lineitem WHERE l_orderkey < 4000) "
+    "SELECT file_id, source, count(*) AS n FROM (SELECT * FROM e WHERE source <> 'lsp' OR file_id % 3 <> 0 UNION ALL SELECT DISTINCT file_id, line, dst, 'lsp' FROM e WHERE file_id % 3 = 0 AND source = 'parser') GROUP BY 1, 2"
+)
+def lsp_reference_store(spark, sf):
+    e = corpus.table(spark, sf, "lineitem").where("l_orderkey < 4000").select(
+        F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("dst_symbol_id"), F.col("l_suppkey").cast("string").alias("dst_name"),
+        F.lit(1).alias("src_symbol_id"), F.when(F.col("l_partkey") % 2 == 0, "lsp").otherwise("parser").alias("source"), F.lit("call").alias("kind"), F.lit(0.65).alias("confidence"),
+    )
+    files = e.where("file_id % 3 = 0").select("file_id").distinct()
+    refs = e.where("file_id % 3 = 0 and source = 'parser'").drop("source", "kind", "confidence")
+    return graph.store_references(e, refs, files).groupBy("file_id", "source").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH {SYMBOLS}, d AS (SELECT name AS query, symbol_id FROM sy WHERE symbol_id % 97 < 3), h AS (SELECT name AS query, max(symbol_id) AS symbol_id FROM sy WHERE symbol_id % 97 < 5 GROUP BY name) "
+    "SELECT query, symbol_id, 0 AS stage FROM d WHERE query IN (SELECT query FROM d GROUP BY query HAVING count(*) > 1) UNION ALL SELECT query, symbol_id, 1 FROM h"
+)
+def homonym_definitions(spark, sf):
+    s = _symbols(spark, sf).select(F.col("name").alias("query"), "symbol_id")
+    hits = s.where("symbol_id % 97 < 5").groupBy("query").agg(F.max("symbol_id").alias("symbol_id"))
+    return graph.with_homonyms(hits, s.where("symbol_id % 97 < 3"))
+
+
+@query(
+    "WITH h AS (SELECT l_shipdate::DATE::VARCHAR AS q, 'p' || (l_partkey % 50) AS path, l_linenumber % 4 AS prio, l_discount AS score FROM lineitem WHERE l_orderkey % 31 = 0), "
+    "b AS (SELECT q, path, min(ROW(prio, -round(score * 1e6), path)) AS best FROM h GROUP BY 1, 2) SELECT q, path, CAST(row_number() OVER (PARTITION BY q ORDER BY best) AS INT) AS place FROM b"
+)
+def file_best_rank(spark, sf):
+    h = corpus.table(spark, sf, "lineitem").where("l_orderkey % 31 = 0")
+    h = h.select(F.col("l_shipdate").cast("date").cast("string").alias("q"), F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")).alias("path"), (F.col("l_linenumber") % 4).alias("prio"), F.col("l_discount").alias("score"))
+    return graph.file_ranks(h, ["q"])
+
+
+@query(f"WITH {OLD}, {NEW} SELECT path FROM (SELECT path FROM ol EXCEPT SELECT path FROM ne) UNION SELECT path FROM (SELECT path FROM ne EXCEPT SELECT path FROM ol)")
+def path_set_difference(spark, sf):
+    old, new = (df.select("path") for df in _states(spark, sf))
+    return old.subtract(new).union(new.subtract(old)).distinct()

@@ -147,3 +147,21 @@ def events_session(spark, sf):
     s = stream.sessions(corpus.table(spark, sf, "events"), "ts", "user_id", "2 hours")
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return s.select("user_id", us("start").alias("start_us"), us("end").alias("end_us"), "n")
+
+
+@query(
+    "SELECT conv_id AS run, coalesce(arg_max(text, turn) FILTER (WHERE role = 'assistant' AND turn > 3), string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS answer FROM conversations GROUP BY 1"
+)
+def answer_extract(spark, sf):
+    """Turns as JSON lines; an assistant's turn after the third carries a result."""
+    c = corpus.table(spark, sf, "conversations")
+    late = (F.col("role") == "assistant") & (F.col("turn") > 3)
+    line = F.when(late, F.to_json(F.struct("role", "text", F.col("text").alias("result")))).otherwise(F.to_json(F.struct("role", "text")))
+    return extract.answer(c.select(F.col("conv_id").alias("run"), F.col("turn").alias("n"), line.alias("line")))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_key_search(spark, sf):
+    e = corpus.table(spark, sf, "events")
+    nested = F.concat(F.lit('{"usage": {"inner": '), "props", F.lit("}}"))
+    return e.select("event_id", extract.find_keys(nested, ("tokens", "k")).alias("k"))
