@@ -133,5 +133,76 @@ FROM f
 """
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP4_SQL = f"""
+WITH d AS (
+  SELECT doc_id, {_ALNUM} AS w FROM documents
+), i AS (
+  SELECT item_id, {_ALNUM} AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(len(w), 13) AS n, array_to_string(list_slice(w, s, s + least(len(w), 13) - 1), ' ') AS k
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM i WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT n FROM windows
+), places AS (
+  SELECT doc_id, s, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS k
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d JOIN sizes ON len(w) >= n)
+), hits AS (
+  SELECT doc_id, s, n, item FROM places JOIN windows USING (k, n)
+), words AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS place FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_HASH = lambda *parts: "CAST(('0x' || substring(md5(" + " || ':' || ".join(["'mix-1'", *parts]) + "), 1, 13)) AS BIGINT)"
+OP5_SQL = f"""
+WITH base AS (
+  SELECT doc_id, source IS NOT NULL AS has, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+), s1 AS (
+  SELECT has, source, CAST(sum(size) AS BIGINT) AS s FROM base GROUP BY 1, 2
+), s2 AS (
+  SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY has DESC, source) - 1) % 3 + 1] AS w FROM s1
+), s3 AS (
+  SELECT *, (1.5::DOUBLE * sum(s) OVER () - 2 * coalesce(sum(s) OVER f, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS level FROM s2
+  WINDOW f AS (ORDER BY 2.0::DOUBLE * s / w, has DESC, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), s4 AS (
+  SELECT has, source, s, least(2.0::DOUBLE * s, coalesce(max(CASE WHEN level * w < 2 * s THEN level END) OVER () * w, 2.0::DOUBLE * s)) AS target,
+    greatest(1, least(64, CAST(floor(sum(s) OVER () / 65536) AS BIGINT))) AS block, greatest(32768, CAST(floor(sum(s) OVER () / 1048576) AS BIGINT)) AS per
+  FROM s3
+), s5 AS (
+  SELECT *, greatest(1, CAST(floor(s / per) AS BIGINT)) AS n, CAST(round(sum(target) OVER () / block) AS BIGINT) AS seats, CAST(floor(2.0::DOUBLE * s / block) AS BIGINT) AS cap FROM s4
+), q1 AS (
+  SELECT has, source, seats, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, has, source) AS place FROM (SELECT *, unnest(range(cap)) AS k FROM s5)
+), q2 AS (
+  SELECT has, source, count(*) AS quota FROM q1 WHERE place <= seats GROUP BY 1, 2
+), dealt AS (
+  SELECT b.*, s5.s, s5.target, s5.block, coalesce(q2.quota, 0) AS source_quota, {_HASH("'shard'", "doc_id")} % s5.n AS shard, {_HASH("doc_id")} AS place
+  FROM base b JOIN s5 USING (has, source) LEFT JOIN q2 USING (has, source)
+), sh AS (
+  SELECT has, source, shard, sum(size) AS ring, max(block) AS block, max(source_quota) AS source_quota FROM dealt GROUP BY 1, 2, 3
+), r1 AS (
+  SELECT has, source, shard, source_quota, row_number() OVER (PARTITION BY has, source ORDER BY ring::DOUBLE / (2 * k + 1) DESC, shard) AS place
+  FROM (SELECT *, unnest(range(CAST(floor(2.0::DOUBLE * ring / block) AS BIGINT))) AS k FROM sh)
+), r2 AS (
+  SELECT has, source, shard, count(*) AS quota FROM r1 WHERE place <= source_quota GROUP BY 1, 2, 3
+), line AS (
+  SELECT d.*, CAST(sum(size) OVER (PARTITION BY has, source, d.shard ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fin,
+    greatest(CAST(sh.ring AS BIGINT), 1) AS ring, least(coalesce(quota, 0) * d.block, CAST(2 * sh.ring AS BIGINT)) AS take, {_HASH("'from'", "source", "d.shard")} % greatest(CAST(sh.ring AS BIGINT), 1) AS origin
+  FROM dealt d JOIN sh USING (has, source, shard) LEFT JOIN r2 USING (has, source, shard)
+), e AS (
+  SELECT *, fin - size AS start, take // ring AS turns, take % ring AS rest FROM line
+)
+SELECT doc_id, size, s AS source_size, target,
+  CAST(turns * size + greatest(least(fin, origin + rest) - greatest(start, origin), 0) + greatest(least(fin, origin + rest - ring) - start, 0) AS BIGINT) AS taken
+FROM e
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL}
+    return {"op4_benchmark_decontamination": OP4_SQL, "op5_source_mixing": OP5_SQL, "op8_warc": OP8_SQL}

@@ -1,29 +1,8 @@
-"""Where intermediate tables of an operator live.
-
-On a cluster this is the shared folder named by spark.checkpoint.dir; only
-where that is unset (tests, a laptop) does a folder of this machine stand in.
-"""
+"""Where intermediate tables of an operator live: the shared folder of the session."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lumenry-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.scratch import cut_lineage as written
+from ..sources.scratch import shared_dir
 
+__all__ = ["shared_dir", "written"]
