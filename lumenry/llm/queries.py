@@ -203,6 +203,24 @@ SELECT doc_id, size, s AS source_size, target,
 FROM e
 """
 
+OP7_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, s, s + 4), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM sh x JOIN sh y USING (k) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT links.b, reach.other FROM reach JOIN links ON links.a = reach.doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM d JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": OP4_SQL, "op5_source_mixing": OP5_SQL, "op8_warc": OP8_SQL}
+    return {"op4_benchmark_decontamination": OP4_SQL, "op5_source_mixing": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op8_warc": OP8_SQL}

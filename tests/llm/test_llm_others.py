@@ -254,13 +254,14 @@ def test_quality_verdicts(spark):
 # ---- queries and pipeline ---------------------------------------------------------------
 
 
-def test_warc_query_equals_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{SF}/pages.parquet')")
-    cols = "page_id, payload_bytes, payload_digest, record_type, refers_to"
-    want = con.execute(f"SELECT {cols} FROM ({queries.oracle_sql()['op8_warc']})").fetchall()
-    got = queries.queries()["op8_warc"](spark, SF).selectExpr(*cols.split(", ")).collect()
-    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    df = queries.queries()[name](spark, SF)
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
 
 
 COLUMNS = {
