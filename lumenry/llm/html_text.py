@@ -288,10 +288,10 @@ def main_text(page: str | None, tree: Tree) -> str:
 
 
 def extract(pages: DataFrame, *, source: str = "html", name: str = "main_text") -> DataFrame:
-    """pages with a column ``name`` in place of ``source``.  A narrow stage."""
+    """pages with a column ``name`` in place of ``source``, and of any of that name.  A narrow stage."""
     tree = trained_tree()
     at = pages.columns.index(source)
-    rest = [i for i in range(len(pages.columns)) if i != at]
+    rest = [i for i, c in enumerate(pages.columns) if i != at and c != name]
     names = [*[pages.columns[i] for i in rest], name]
 
     def run(batches):

@@ -199,6 +199,7 @@ def test_html_rows(spark):
     df = spark.createDataFrame([(1, PAGE, 5), (1, PAGE, 5), (2, None, None)], "page_id long, html string, text int")
     got = sorted(map(tuple, H.extract(df).collect()))
     assert len(got) == 3 and got[0] == got[1] and got[2][-1] == ""
+    assert H.extract(df, name="text").columns == ["page_id", "text"]
 
 
 # ---- quality rules ----------------------------------------------------------------------
