@@ -19,7 +19,7 @@ LANGUAGES = {
 }
 TEXT_EXTENSIONS = ("md", "txt", "rst", "json", "yaml", "yml", "toml", "ini", "cfg", "html", "css", "sql", "sh")
 DOC_EXTENSIONS = ("md", "txt")
-SKIPPED_DIRS = (".git", ".ctx", ".venv", "venv", "node_modules", "vendor", "target", "dist", "build", "__pycache__", ".next", ".nuxt")
+SKIPPED_DIRS = (".git", ".lumenry", ".venv", "venv", "node_modules", "vendor", "target", "dist", "build", "__pycache__", ".next", ".nuxt")
 TEST_DIRS = ("test", "tests", "spec", "specs", "__tests__")
 VENDOR_DIRS = ("vendor", "node_modules")
 ENTRY_NAMES = (

@@ -18,7 +18,7 @@ REQUEST = "requested_at timestamp, force boolean"
 def changes(spark: SparkSession, landing: str, files_per_trigger: int = 1000) -> DataFrame:
     """Change events from a landing folder of JSON lines; artefact paths are dropped."""
     raw = spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", files_per_trigger).json(landing)
-    return raw.where("path is not null and not startswith(path, '.ctx/') and kind <> 'access'")
+    return raw.where("path is not null and not startswith(path, '.lumenry/') and kind <> 'access'")
 
 
 def metric_queue(spark: SparkSession, landing: str) -> DataFrame:

@@ -20,7 +20,7 @@ def test_metric_queue_once_each(spark, tmp_path):
 def test_watch_and_overflow(spark, tmp_path):
     land = str(tmp_path / "land")
     seen = []
-    rows = [("a.py", "modify"), ("a.py", "modify"), (".ctx/x", "modify"), ("b.py", "access"), ("c.py", "create")]
+    rows = [("a.py", "modify"), ("a.py", "modify"), (".lumenry/x", "modify"), ("b.py", "access"), ("c.py", "create")]
     spark.createDataFrame(rows, "path string, kind string").withColumn("at", F.lit("2024-01-01T00:00:00")).write.json(land)
     S.watch(S.changes(spark, land), str(tmp_path / "ck"), lambda p, full: seen.append((sorted(r.path for r in p.collect()), full))).awaitTermination()
     assert seen == [(["a.py", "c.py"], False)]
