@@ -43,6 +43,8 @@ from .workspace import written
 WORDS = 5
 PERCENT = 80
 GROUP = 256
+#: Ids of dropped rows that are sent to every executor at most.
+SENT = 1_000_000
 BATCH = 512
 
 
@@ -333,7 +335,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = join(keyed.select(F.col(name).alias("doc_id"), "text"))
     found = written(found.select(F.col("doc_id").alias("_id"), "component_id"), "jaccard-components")
     goes = found.where("_id <> component_id").select("_id").distinct()
-    stays = keyed.join(goes, F.col(name) == F.col("_id"), "left_anti")
+    # a short list of ids goes to every executor; a longer one meets the rows in a shuffle
+    goes = written(goes, "jaccard-dropped")
+    sent = F.broadcast if goes.count() <= SENT else (lambda df: df)
+    stays = keyed.join(sent(goes), F.col(name) == F.col("_id"), "left_anti")
     if not found.where("_id = component_id").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         stays = stays.dropDuplicates([name, "text"])
     return stays.select(*columns)
