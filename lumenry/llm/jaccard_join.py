@@ -4,8 +4,9 @@ Documents are sets of five-word shingles; two are linked at a Jaccard
 similarity of 0.8 or more, and the join gives the connected components.
 
 1. Document frequencies of all shingles are exchanged between blocks and shards
-   (module exchange).  A document of which more than a fifth of the shingles
-   are its own cannot be linked, and leaves.  Equal sets become one class.
+   (module exchange); they may be too high, which costs time only, but never too
+   low.  A document of which more than a fifth of the shingles are its own
+   cannot be linked, and leaves.  Equal sets become one class.
 2. A linked pair shares one of its rarest shingles (the prefix: what a set may
    lack, and one more).  Classes are partitioned into groups of similar ones:
    a family is what reaches the same least class through a prefix shingle, and
