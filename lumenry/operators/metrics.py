@@ -51,7 +51,7 @@ def cost(events: DataFrame, pricing: DataFrame) -> DataFrame:
     only if all prices are of one model."""
     p = pricing.select(F.col("model").alias("_model"), "input_per_million", "cached_input_per_million", "output_per_million")
     lone = pricing.agg(F.countDistinct("model").alias("_models"), F.first("input_per_million").alias("_i"), F.first("cached_input_per_million").alias("_c"), F.first("output_per_million").alias("_o"))
-    j = events.join(F.broadcast(p.limit(10_000)), F.col("model") == F.col("_model"), "left").join(F.broadcast(lone))  # a price list; one row
+    j = events.join(p, F.col("model") == F.col("_model"), "left").join(F.broadcast(lone))  # one row
     pick = lambda own, one, builtin: F.coalesce(own, F.when(F.col("model").isNull() & (F.col("_models") == 1), one), F.when(F.col("model").isNotNull(), F.lit(builtin)))
     i, c, o = (pick(F.col(a), F.col(b), BUILTIN[k]) for a, b, k in (("input_per_million", "_i", "input"), ("cached_input_per_million", "_c", "cached_input"), ("output_per_million", "_o", "output")))
     zero = F.lit(0)
