@@ -52,8 +52,14 @@ def occurrences(toks: Column, phrase: list[str]) -> Column:
     """How often a phrase stands in an array of tokens."""
     if len(phrase) == 1:
         return F.size(F.filter(toks, lambda t: t == phrase[0]))
-    window = F.array(*[F.lit(p) for p in phrase])
-    return F.size(F.filter(F.transform(toks, lambda t, i: (t == phrase[0]) & (F.slice(toks, i + 1, F.lit(len(phrase))) == window)), lambda hit: hit))
+
+    def begins(t: Column, i: Column) -> Column:
+        test = t == phrase[0]
+        for k, word in enumerate(phrase[1:], 1):
+            test = test & (F.coalesce(F.get(toks, i + k), F.lit("")) == word)
+        return test
+
+    return F.size(F.filter(toks, begins))
 
 
 def bm25(files: DataFrame, fields: dict[str, tuple[Column, float]], query: str, *, ascii_only: bool = False) -> DataFrame:
