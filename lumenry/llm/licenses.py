@@ -17,9 +17,11 @@ template more than a fifth of the shingles hold one; where none stands, no
 template can be matched, so nothing is lost.  All of it happens inside the row:
 no shuffle, no join, whatever a document repeats.
 
-Results: a null or empty text has no matches.  A template is reported once a
-document, where it is contained best (ties: the first place); a match that
-overlaps one that is contained better goes.  Repeated rows get equal results.  Columns of any name pass through.
+Results: a null or empty text has no matches.  A template is reported at every
+place it stands; overlapping windows of one template are one place, where it
+fits best (ties: the first).  A place that overlaps one that stays and is
+contained better goes.  Places are resolved in runs that no match spans, so
+the cost follows the matches.  Repeated rows get equal results.  Columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -159,14 +161,53 @@ def scan(docs: DataFrame, *, text: str = "text", templates=TEMPLATES, name: str
 
     found = F.filter(F.flatten(F.transform("_band", retrieved)), lambda m: m["contained"] >= CONTAINED)
     df = df.withColumn("_all", F.when((F.size("_band") > 0) & (F.size("_sh") > 0) & (F.size("_tpl") > 0), found).otherwise(empty(kind[6:-1])))
-    ids = F.array_distinct(F.transform("_all", lambda m: m["template"]))
-    best = F.transform(ids, lambda t: _best(F.filter("_all", lambda m: m["template"] == t)))
-    df = df.withColumn("_best", F.when(F.size("_all") > 0, best).otherwise(empty(kind[6:-1])))
-    beaten = lambda m: F.exists("_best", lambda o: (o["contained"] > m["contained"]) & (o["start"] < m["end"]) & (o["end"] > m["start"]))
-    return df.select(*keep, F.filter("_best", lambda m: ~beaten(m)).alias(name))
-
-
-def _best(matches: Column) -> Column:
-    """The best contained, then the first."""
-    keyed = F.transform(matches, lambda m: F.struct((-m["contained"]).alias("c"), m["start"].alias("s"), m.alias("m")))
-    return F.array_min(keyed)["m"]
+    df = df.withColumn("_fit", F.when((F.size("_all") > 0) & (F.size("_sh") > 0) & (F.size("_tpl") > 0), F.transform("_all", _fitted)).otherwise(empty(f"struct<at:struct<held:int,back:int>,m:{kind[6:-1]}>")))
+    placed = F.array_sort(F.transform("_fit", _placed))
+    df = df.withColumn("_placed", F.when(F.size("_fit") > 0, placed).otherwise(empty(_PLACE)))
+    before = lambda c, i: F.get(F.col(c), i - 1)
+    fresh = lambda m, i: F.coalesce((before("_placed", i)["start"] != m["start"]) | (before("_placed", i)["template"] != m["template"]), F.lit(True))
+    df = df.withColumn("_one", F.when(F.size("_placed") > 0, F.filter("_placed", fresh)).otherwise(empty(_PLACE)))
+    far = lambda m, i: F.coalesce(m["start"] - before("_one", i)["start"] >= max(sizes) + WORDS - 1, F.lit(True))
+    cuts = F.filter(F.transform("_one", lambda m, i: F.when(far(m, i), i)), lambda i: i.isNotNull())
+    df = df.withColumn("_cut", F.when(F.size("_one") > 0, cuts).otherwise(empty("int")))
+    runs = F.transform("_cut", lambda b, j: F.slice(F.col("_one"), b + 1, F.coalesce(F.get(F.col("_cut"), j + 1), F.size("_one")) - b))
+    kept = F.flatten(F.transform(runs, _resolved))
+    out = F.transform(kept, lambda m: F.struct(m["license"].alias("license"), m["template"].alias("template"), m["start"].alias("start"), m["end"].alias("end"), (-m["less"]).alias("contained")))
+    return df.select(*keep, F.when((F.size("_cut") > 0) & (F.size("_one") > 0), out).otherwise(empty(kind[6:-1])).alias(name))
+
+
+#: A match at its place; less and loose are negative: how much the wider window, and the template's own size, hold.
+_PLACE = "struct<start:int,template:int,less:double,loose:int,license:string,end:int>"
+
+
+def _fitted(m: Column) -> Column:
+    """The match with the place in its wider window where the template's own size holds most (ties: the first)."""
+    n = m["end"] - m["start"] - (WORDS - 1)
+    slack = F.floor(n / 8).cast("int")
+    own = F.element_at(F.col("_tpl"), m["template"] + 1)["set"]
+    starts = F.sequence(F.greatest(m["start"] - slack, F.lit(0)), F.greatest(m["start"], F.least(m["start"] + slack, F.size("_sh") - n)))
+    held = F.transform(starts, lambda s: F.struct(F.size(F.array_intersect(own, F.slice(F.col("_sh"), s + 1, n))).alias("held"), (-s).alias("back")))
+    return F.struct(F.array_max(held).alias("at"), m.alias("m"))
+
+
+def _placed(f: Column) -> Column:
+    m, start = f["m"], -f["at"]["back"]
+    return F.struct(
+        start.alias("start"), m["template"].alias("template"), (-m["contained"]).alias("less"), (-f["at"]["held"]).alias("loose"), m["license"].alias("license"),
+        (start + m["end"] - m["start"]).alias("end"),
+    )
+
+
+def _resolved(run: Column) -> Column:
+    """The places that stay: neighbouring windows of one template become the one that
+    fits best, then what overlaps a place that is contained better goes."""
+    overlap = lambda k, m: (k["start"] < m["end"]) & (k["end"] > m["start"])
+
+    def kept(places: Column, by: tuple[str, ...], goes) -> Column:
+        """Those, best first, that no place kept before sends away."""
+        order = F.array_sort(F.transform(places, lambda m: F.struct(*[m[c].alias(f"_{c}") for c in by], m.alias("m"))))
+        none = F.array().cast(f"array<{_PLACE}>")
+        return F.aggregate(order, none, lambda a, x: F.when(F.exists(a, lambda k: overlap(k, x["m"]) & goes(k, x["m"])), a).otherwise(F.concat(a, F.array(x["m"]))))
+
+    places = kept(run, ("loose", "less", "start"), lambda k, m: k["template"] == m["template"])
+    return kept(places, ("less", "start"), lambda k, m: k["less"] < m["less"])

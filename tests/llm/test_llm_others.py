@@ -351,3 +351,28 @@ def test_license_scan(spark):
             c, s, e = want[k]
             assert any(want[o][0] > c and want[o][1] < e and want[o][2] > s for o in found)
     assert L.scan(df.limit(0), name="found").count() == 0
+
+
+def test_license_scan_keeps_every_place(spark):
+    from lumenry.llm import licenses as L
+
+    gap = " plain words between two files of one source tree " * 6
+    rows, want = [], []
+    for i, (_, t) in enumerate(L.TEMPLATES):
+        n = len(L.template_words(t))
+        for times, between in ((3, gap), (12, " ")):
+            step = n + len(L.template_words(between))
+            rows.append((len(rows), between.join([t] * times)))
+            want.append({(i, k * step, k * step + n) for k in range(times)})
+    got = {r.doc_id: {(m.template, m.start, m.end) for m in r.found} for r in L.scan(spark.createDataFrame(rows, DOCS), name="found").collect()}
+    for k, places in enumerate(want):
+        mine = {p for p in got[k] if p[0] == next(iter(places))[0]}
+        assert mine == places, rows[k]
+
+
+def test_license_scan_keeps_a_place_whose_twin_is_beaten(spark):
+    from lumenry.llm import licenses as L
+
+    text = "This work is licensed under the GNU General Public License, version 2." + " other words" * 30 + " Our work is licensed under the GNU General Public License, version 3"
+    found = L.scan(spark.createDataFrame([(1, text)], DOCS), name="found").first().found
+    assert sorted((m.license, m.start) for m in found) == [("GPL-2.0", 0), ("GPL-3.0", 72)]
