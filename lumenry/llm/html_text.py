@@ -46,7 +46,8 @@ ASIDE_WORDS = frozenset(
 MAIN_WORDS = frozenset("article main content post entry story".split())
 
 _TOKEN = re.compile(
-    r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|(?P<raw>" + "|".join(RAW_TAGS) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|(?:svg|math)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?<=/>)"
+    r"|(?P<raw>" + "|".join(RAW_TAGS) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[!?/][^>]*+>|[a-zA-Z/][^>]*+>)",
     re.S | re.I,
 )

@@ -185,6 +185,14 @@ def test_html_page():
     assert H.main_text("<article><p>One two three four.</p><a hr", tree) == "One two three four."
 
 
+@pytest.mark.parametrize(
+    "tag", ['<svg-icon name="x"></svg-icon>', "<template-part></template-part>", "<select-menu></select-menu>", "<object-viewer></object-viewer>", '<svg viewBox="0 0 1 1"/>', "<svg/>", "<math />", "<SVG class='i' />"]
+)
+def test_html_text_after_what_only_looks_raw(tag):
+    page = f"<article><p>One two three four.</p>{tag}<p>Rest of the article.</p><svg><text>No.</text></svg><p>And its end.</p></article>"
+    assert H.main_text(page, H.trained_tree()) == "One two three four. Rest of the article. And its end."
+
+
 def test_html_tree_on_unseen_layouts():
     tree, right, total = H.trained_tree(), 0, 0
     for page in H.varied_pages(60, seed=77):
