@@ -36,6 +36,8 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 RAW_TAGS = ("script", "style", "noscript", "template", "textarea", "svg", "math", "object", "canvas", "title", "iframe", "select")
 ASIDE_TAGS = frozenset("nav aside footer form dialog button label menu head".split())
 MAIN_TAGS = frozenset(("article", "main"))
+#: They hold the whole page, whatever their classes say.
+WHOLE_TAGS = frozenset(("html", "body"))
 #: Words in class, id or role that mark what is not the article.
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo promos promotion banner sidebar menu nav navbar navigation breadcrumb"
@@ -44,6 +46,12 @@ ASIDE_WORDS = frozenset(
     " disqus discussion toolbar pagination pager copyright legal disclaimer search skip contentinfo complementary dialog topbar sitenav".split()
 )
 MAIN_WORDS = frozenset("article main content post entry story".split())
+#: What a name of several parts may have besides: which box it is, never what state a page is in (no-sidebar, comments-open).
+BOX_WORDS = MAIN_WORDS | frozenset(
+    "site page global top bottom primary secondary mobile header area block box container wrapper wrap inner outer section list item items row"
+    " panel module slot unit holder group links link icons buttons button bar body form title text label posts articles stories entries news"
+    " leaderboard".split()
+)
 
 _TOKEN = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|(?:svg|math)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?<=/>)"
@@ -58,8 +66,21 @@ _NAMES = re.compile(r"[a-z0-9]+")
 FEATURES = ["words", "links", "before_words", "before_links", "after_words", "after_links", "aside", "main", "heading", "sentence", "outside"]
 
 
+@lru_cache(maxsize=1 << 14)
+def _meaning(name: str) -> int:
+    """Of a class, id or role as a whole, as in _place.  A part that marks an aside counts only
+    where the rest says no more than which box it is; content-sidebar and the like are layouts."""
+    parts = set(_NAMES.findall(name))
+    if parts & ASIDE_WORDS:
+        layout = "sidebar" in parts and parts & {"content", "main"}
+        return int(not layout and all(p in ASIDE_WORDS or p in BOX_WORDS or p.isdigit() for p in parts))
+    return 2 if parts & MAIN_WORDS else 0
+
+
 def _place(tag: str, attrs: str, in_main: bool) -> int:
     """1: what opens here is beside the article; 2: it is the article; 0: neither."""
+    if tag in WHOLE_TAGS:
+        return 0
     if tag in MAIN_TAGS:
         kind = 2
     elif tag in ASIDE_TAGS or (tag == "header" and not in_main):
@@ -67,12 +88,10 @@ def _place(tag: str, attrs: str, in_main: bool) -> int:
     else:
         kind = 0
     if attrs and "=" in attrs or "hidden" in attrs.lower():
-        names = set()
-        for m in _MARKS.finditer(attrs):
-            names.update(_NAMES.findall((m[1] or m[2] or m[3] or "").lower()))
-        if names & ASIDE_WORDS or _HIDDEN.search(attrs):
+        means = {_meaning(n) for m in _MARKS.finditer(attrs) for n in (m[1] or m[2] or m[3] or "").lower().split()}
+        if 1 in means or _HIDDEN.search(attrs):
             return 1
-        if kind == 0 and names & MAIN_WORDS:
+        if kind == 0 and 2 in means:
             return 2
     return kind
 
@@ -193,6 +212,8 @@ def labelled_pages() -> tuple[str, ...]:
         f'<header><p>{s(18, 90)}</p></header><div><p>¶{s(44, 91)}</p><p>¶{s(1, 92)}</p><p>¶{s(24, 93)}</p></div><div><p><a href="n">{s(3, 94)}</a></p><p><a href="m">{s(4, 95)}</a></p></div>',
         f'<div><p>{s(14, 96)}</p></div><article><h1>¶{s(4, 97)}</h1><p>¶{s(52, 98)}</p></article><div><p>{s(33, 99)}</p></div><p>{s(7, 100)}</p>',
         f'<div>{s(3, 101)}</div><main><p>¶{s(16, 102)}</p><p>¶{s(2, 103)}</p></main><div><p>{s(60, 104)}</p><p>{s(8, 105)}</p></div>',
+        f'<html class="no-search"><body class="single no-sidebar"><header><ul>{k(5, 106)}</ul></header><div class="wrap"><h1>¶{s(5, 107)}</h1><p>¶{s(48, 108)}</p><p>¶{s(27, 109)}</p></div><div class="comments-area"><p>{s(21, 110)}</p></div></body></html>',
+        f'<body class="post-template comments-open"><div class="site-header">{s(4, 111)}</div><div class="layout has-sidebar"><p>¶{s(36, 112)}</p><p>¶{s(3, 113)}</p><p>¶{s(61, 114)}</p></div><div id="sidebar"><p>{s(24, 115)}</p></div><footer>{s(8, 116)}</footer></body>',
     )
 
 

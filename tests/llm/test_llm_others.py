@@ -193,6 +193,24 @@ def test_html_text_after_what_only_looks_raw(tag):
     assert H.main_text(page, H.trained_tree()) == "One two three four. Rest of the article. And its end."
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<html><body class="single no-sidebar"><div class="wrap">{}</div>{}</body></html>',
+        '<html><body class="home has-sidebar"><div class="content">{}</div>{}</body></html>',
+        '<html class="no-search"><body id="page-comments" class="post comments-open">{}{}</body></html>',
+        '<html class="sidebar"><body class="content-sidebar"><div class="content-sidebar-wrap">{}</div>{}</body></html>',
+        '<html><body><div class="layout no-sidebar">{}</div>{}</body></html>',
+        '<html><body><div class="with-comments has-share">{}</div>{}</body></html>',
+    ],
+)
+def test_html_text_under_class_names_of_a_state(page):
+    title, first, second = (H._sentences(n, 900 + n) for n in (5, 50, 30))
+    beside = ["sidebar", "cookie-notice", "post-comments", "related-posts", "ad-slot-1", "main-menu", "site-footer", "share-buttons"]
+    others = "".join(f'<div class="{c}"><p>{H._sentences(25, 950 + i)}</p></div>' for i, c in enumerate(beside))
+    assert H.main_text(page.format(f"<h1>{title}</h1><p>{first}</p><p>{second}</p>", others), H.trained_tree()) == f"{title} {first} {second}"
+
+
 def test_html_tree_on_unseen_layouts():
     tree, right, total = H.trained_tree(), 0, 0
     for page in H.varied_pages(60, seed=77):
