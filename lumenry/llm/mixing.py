@@ -8,7 +8,9 @@ water filling, solved in closed form over one row per source.
 Quotas: the words to take are cut into equal blocks.  Blocks go to sources by
 highest quotients (Sainte-Lague: target / 1, / 3, / 5, ...), and each source's
 blocks go the same way to its shards by their sizes.  Seats are found from the
-divisor, by bisection; equal quotients at the border go by order.
+divisor, by bisection; equal quotients at the border go by order.  A block has a
+65536th of all words, ``MAX_BLOCK`` at most, and caps are whole blocks, so a source
+is off its target by about a block; one of less than half a block takes nothing.
 
 Selection: a shard's documents stand in a seeded order, end to end on a ring of
 words.  From a seeded place on, quota x block words are taken; what goes round
