@@ -2,7 +2,10 @@
 
 The model has words and word pairs, with Dirichlet smoothing: the probability
 of w after v is (c(v w) + MU p(w)) / (c(v) + MU), and p(w) adds a half to each
-word's count and keeps one more place for unknown words.
+word's count and keeps one more place for unknown words.  ``order`` 3 and more
+add levels of longer contexts, each smoothed by the one below in the same way;
+a document starts with as many end tokens as its contexts need.  A context's
+own count is then the smoothed one of the level below.
 
 Counting and scoring go through one exchange (module exchange): blocks of
 documents send each shard the word pairs (contexts with their successors) and
@@ -41,6 +44,8 @@ from .textkit import LOWER, NOT_SPACE, Words, mix, pieces, text_buffer
 from .workspace import written
 
 FOLDS, HELD = 5, 1
+#: Words of the longest n-grams: 2 are pairs.
+ORDER = 2
 #: Strength of the smoothing, in tokens.
 MU = 30.0
 #: Bits of a quantised log-probability, and the discount of pair counts.
@@ -198,9 +203,9 @@ def held_out(doc_id) -> bool:
 
 
 class Tokens:
-    """Tokens of some documents: words, then one end each."""
+    """Tokens of some documents: words, then one end each; and their distinct n-grams up to ``order``."""
 
-    def __init__(self, column: pa.ChunkedArray):
+    def __init__(self, column: pa.ChunkedArray, order: int = ORDER):
         flat, offsets = text_buffer(column)
         hashes, sizes = [], []
         for a, b in pieces(offsets):
@@ -219,10 +224,22 @@ class Tokens:
         if len(self.token):
             before[0] = np.searchsorted(self.words, END)
         self.before = before
-        key = (before.astype(np.uint64) << np.uint64(32)) | self.word.astype(np.uint64)
-        pairs, self.pair = np.unique(key, return_inverse=True)
-        self.pair_context = self.words[(pairs >> np.uint64(32)).astype(np.int64)]
-        self.pair_next = self.words[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        # of each level: the contexts, the successors, and each token's n-gram
+        starts = np.cumsum(self.n) - self.n
+        at, hashes, self.grams = before, self.words, []
+        for k in range(2, order + 1):
+            if k > 2:  # the context reaches one token further; before a first word stand ends alone
+                longer = np.roll(at, 1)
+                longer[starts] = at[starts]
+                keys, at = np.unique(_joined(longer, before), return_inverse=True)
+                hashes = mix(hashes[keys >> np.uint64(32)] + np.uint64(k)) + self.words[keys & np.uint64(0xFFFFFFFF)]
+            pairs, gram = np.unique(_joined(at, self.word), return_inverse=True)
+            self.grams.append((hashes[(pairs >> np.uint64(32)).astype(np.int64)], self.words[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)], gram))
+        self.starts = starts
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
 
 
 def _successor(words: np.ndarray) -> np.ndarray:
@@ -230,9 +247,9 @@ def _successor(words: np.ndarray) -> np.ndarray:
 
 
 def _places(t: Tokens, shards: int):
-    """Per shard: which words and which pairs of a block it owns."""
+    """Per shard: which words, and which n-grams of each level, of a block it owns."""
     out = []
-    for key in (t.words, mix(t.pair_context + (t.pair_next & np.uint64(15)))):
+    for key in (t.words, *(mix(context + (successor & np.uint64(15))) for context, successor, _ in t.grams)):
         shard = (key >> np.uint64(8)) % np.uint64(shards)
         order = np.argsort(shard, kind="stable")
         out.append((order, np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))))
@@ -282,22 +299,27 @@ def _unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(context, many), wide.view(np.uint64).ravel(), _many(data, n, at + n * width)[0]
 
 
-def _ask(shards: int):
+def _levels(order: int) -> list[str]:
+    """Columns of the messages: pairs, then longer n-grams."""
+    return ["pairs", *(f"grams{k}" for k in range(3, order + 1))]
+
+
+def _ask(shards: int, order: int):
     def run(key, table):
-        t = Tokens(table.column("text"))
+        t = Tokens(table.column("text"), order)
         train = np.array([not held_out(i) for i in table.column("doc_id").to_pylist()], dtype=bool)[t.row]
         word_counts = np.bincount(t.word[train], minlength=len(t.words))
-        pair_counts = np.bincount(t.pair[train], minlength=len(t.pair_context))
-        (words, w), (pairs, p) = _places(t, shards)
-        successor = _successor(t.pair_next)
+        counts = [np.bincount(gram[train], minlength=len(context)) for context, _, gram in t.grams]
+        (words, w), *places = _places(t, shards)
+        successors = [_successor(follow) for _, follow, _ in t.grams]
         rows = []
         for s in range(shards):
-            mine, pair = words[w[s] : w[s + 1]], pairs[p[s] : p[s + 1]]
-            if len(mine) or len(pair):
-                rows.append((s, _pack_words(t.words[mine], word_counts[mine]), _pack_pairs(t.pair_context[pair], successor[pair], pair_counts[pair])))
-        return pa.table(
-            {"shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([key[0].as_py()] * len(rows), pa.int32()), "words": pa.array([r[1] for r in rows], pa.binary()), "pairs": pa.array([r[2] for r in rows], pa.binary())}
-        )
+            mine, grams = words[w[s] : w[s + 1]], [o[p[s] : p[s + 1]] for o, p in places]
+            if len(mine) or any(map(len, grams)):
+                packed = [_pack_pairs(g[0][i], n[i], c[i]) for g, n, c, i in zip(t.grams, successors, counts, grams, strict=True)]
+                rows.append((s, _pack_words(t.words[mine], word_counts[mine]), *packed))
+        columns = {"shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([key[0].as_py()] * len(rows), pa.int32())}
+        return pa.table(columns | {c: pa.array([r[i] for r in rows], pa.binary()) for i, c in enumerate(("words", *_levels(order)), 1)})
 
     return run
 
@@ -307,12 +329,9 @@ def _sum(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return unique, inverse, np.bincount(inverse, counts, minlength=len(unique)).astype(np.int64)
 
 
-def _answer(key, table):
-    """One shard: word counts, the trie of its pairs, and answers to every block."""
-    asked = [_unpack_words(b) for b in table.column("words").to_pylist()]
-    words, inverse, counts = _sum(np.concatenate([w for w, _ in asked]), np.concatenate([c for _, c in asked]))
-    of_word = counts[inverse]
-    pairs = [_unpack_pairs(b) for b in table.column("pairs").to_pylist()]
+def _codes(data: list[bytes]) -> tuple[list[bytes], float, float]:
+    """One level of a shard: the trie of its n-grams, and what it says to every block."""
+    pairs = [_unpack_pairs(b) for b in data]
     context, successor, c = (np.concatenate([p[i] for p in pairs]) for i in range(3))
     trained = c > 0
     order = np.lexsort((successor[trained], context[trained]))
@@ -330,44 +349,62 @@ def _answer(key, table):
         if os.path.exists(path):
             os.remove(path)
         os.rmdir(os.path.dirname(path))
-    cuts = np.cumsum([0, *(len(w) for w, _ in asked)])
-    pair_cuts = np.cumsum([0, *(len(p[0]) for p in pairs)])
-    low, unit = trie.scale
-    n = len(asked)
-    return pa.table(
-        {
-            "block": table.column("block"),
-            "shard": table.column("shard"),
-            "words": pa.array([_few(of_word[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-            "pairs": pa.array([code[a:b].tobytes() for a, b in zip(pair_cuts[:-1], pair_cuts[1:], strict=True)], pa.binary()),
-            "low": pa.array([low] * n, pa.float64()),
-            "unit": pa.array([unit] * n, pa.float64()),
-            # the shard's part of N and V, on one of its rows
-            "tokens": pa.array([int(counts.sum())] + [0] * (n - 1), pa.int64()),
-            "types": pa.array([int((counts > 0).sum())] + [0] * (n - 1), pa.int64()),
-        }
-    )
-
-
-_ANSWER = "block int, shard int, words binary, pairs binary, low double, unit double, tokens long, types long"
+    cuts = np.cumsum([0, *(len(p[0]) for p in pairs)])
+    return [code[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], *trie.scale
+
+
+def _answer(order: int):
+    def run(key, table):
+        """One shard: word counts, and the levels' answers to every block."""
+        asked = [_unpack_words(b) for b in table.column("words").to_pylist()]
+        words, inverse, counts = _sum(np.concatenate([w for w, _ in asked]), np.concatenate([c for _, c in asked]))
+        of_word = counts[inverse]
+        cuts = np.cumsum([0, *(len(w) for w, _ in asked)])
+        n = len(asked)
+        columns = {"block": table.column("block"), "shard": table.column("shard"), "words": pa.array([_few(of_word[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())}
+        for c in _levels(order):
+            codes, low, unit = _codes(table.column(c).to_pylist())
+            columns |= {c: pa.array(codes, pa.binary()), f"{c}_low": pa.array([low] * n, pa.float64()), f"{c}_unit": pa.array([unit] * n, pa.float64())}
+        # the shard's part of N and V, on one of its rows
+        columns["tokens"] = pa.array([int(counts.sum())] + [0] * (n - 1), pa.int64())
+        columns["types"] = pa.array([int((counts > 0).sum())] + [0] * (n - 1), pa.int64())
+        return pa.table(columns)
+
+    return run
+
+
+def _schemas(order: int) -> tuple[str, str]:
+    """Of questions and of answers."""
+    ask = "shard int, block int, words binary, " + ", ".join(f"{c} binary" for c in _levels(order))
+    answer = "block int, shard int, words binary, " + ", ".join(f"{c} binary, {c}_low double, {c}_unit double" for c in _levels(order))
+    return ask, answer + ", tokens long, types long"
+
+
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(shards: int, total: int, types: int, mu: float):
+def _score(shards: int, total: int, types: int, mu: float, order: int):
     def run(key, docs, answers):
-        t = Tokens(docs.column("text"))
-        (words, w), (pairs, p) = _places(t, shards)
+        t = Tokens(docs.column("text"), order)
+        (words, w), *places = _places(t, shards)
         count = np.zeros(len(t.words), dtype=np.int64)
-        joint = np.zeros(len(t.pair_context))  # smoothed pair counts
-        columns = [answers.column(c).to_pylist() for c in ("shard", "words", "pairs", "low", "unit")]
-        for s, of_words, of_pairs, low, unit in zip(*columns, strict=True):
-            mine, pair = words[w[s] : w[s + 1]], pairs[p[s] : p[s + 1]]
-            count[mine] = _many(of_words, len(mine), 0)[0]
-            code = np.frombuffer(of_pairs, np.uint8)
-            joint[pair] = np.where(code > 0, 10 ** (low + (code.astype(float) - 1) * unit), 0.0)
+        joint = [np.zeros(len(context)) for context, _, _ in t.grams]  # smoothed counts
+        for answer in answers.to_pylist():
+            s = answer["shard"]
+            mine = words[w[s] : w[s + 1]]
+            count[mine] = _many(answer["words"], len(mine), 0)[0]
+            for c, (o, p), found in zip(_levels(order), places, joint, strict=True):
+                code = np.frombuffer(answer[c], np.uint8)
+                found[o[p[s] : p[s + 1]]] = np.where(code > 0, 10 ** (answer[f"{c}_low"] + (code.astype(float) - 1) * answer[f"{c}_unit"]), 0.0)
         p_word = (count + 0.5) / (total + 0.5 * (types + 1))
-        seen = count[t.before]
-        probability = (np.minimum(joint[t.pair], seen) + mu * p_word[t.word]) / (seen + mu)
+        seen, probability = count[t.before], p_word[t.word]
+        for (_, _, gram), found in zip(t.grams, joint, strict=True):
+            held = np.minimum(found[gram], seen)
+            probability = (held + mu * probability) / (seen + mu)
+            # the next level's context is what ended a token before; ends alone count as one end does
+            ends = seen[t.starts]
+            seen = np.roll(held, 1)
+            seen[t.starts] = ends
         rows = len(t.n)
         doc_ids = docs.column("doc_id").to_pylist()
         return pa.table(
@@ -385,13 +422,16 @@ def _score(shards: int, total: int, types: int, mu: float):
     return run
 
 
-def score(docs: DataFrame, *, mu: float = MU, block_bytes: int = exchange.BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, *, mu: float = MU, order: int = ORDER, block_bytes: int = exchange.BLOCK_BYTES) -> DataFrame:
     """Learn from the training documents and score all; see the module for the columns."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
+    ask, answer = _schemas(order)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = exchange.parts(base, block_bytes)
     dealt = base.withColumn("block", exchange.block_of(n))
-    asked = dealt.groupBy("block").applyInArrow(_ask(n), "shard int, block int, words binary, pairs binary")
-    answers = written(asked.groupBy("shard").applyInArrow(_answer, _ANSWER), "lm-answers")
+    asked = dealt.groupBy("block").applyInArrow(_ask(n, order), ask)
+    answers = written(asked.groupBy("shard").applyInArrow(_answer(order), answer), "lm-answers")
     sums = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    run = _score(n, int(sums[0]), int(sums[1]), mu)
+    run = _score(n, int(sums[0]), int(sums[1]), mu, order)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _SCORES)

@@ -60,6 +60,42 @@ def lm_rows(rows):
     return out
 
 
+def order_scores(rows, order):
+    """Scores of a model of any order, by plain counts."""
+    toks = [[*WORD.findall(low(t)), None] for _, t in rows]
+    held = [zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1 for i, _ in rows]
+    grams = lambda x, k: [tuple(([None] * order + x)[order + i - k + 1 : order + i + 1]) for i in range(len(x))]
+    c = [collections.Counter(g for x, h in zip(toks, held, strict=True) if not h for g in grams(x, k)) for k in range(order + 1)]
+    n, v = sum(c[1].values()), len(c[1])
+
+    def context(g):
+        """Count of what comes before; ends alone count as one end, longer ones less the discount."""
+        if not any(g):
+            return c[1][None,]
+        return c[1][g] if len(g) == 1 else min(max(c[len(g)][g] - 0.5, 0), context(g[:-1]))
+
+    def p(g):
+        if len(g) == 1:
+            return (c[1][g] + 0.5) / (n + 0.5 * (v + 1))
+        seen = context(g[:-1])
+        return (min(max(c[len(g)][g] - 0.5, 0), seen) + L.MU * p(g[1:])) / (seen + L.MU)
+
+    return [(i, sum(math.log10(p(g)) for g in grams(x, order))) for (i, _), x in zip(rows, toks, strict=True)]
+
+
+def test_scores_of_higher_orders(spark):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choice(["a", "B", "cc", "é"]) for _ in range(rnd.randint(0, 30)))) for i in range(200)] + [(300, None), (301, "a a"), (302, ""), (303, "new words only")]
+    df = spark.createDataFrame(rows, DOCS)
+    for order in (2, 3, 4):
+        want = dict(order_scores(rows, order))
+        got = {r.doc_id: (r.score, r.n_tokens) for r in L.score(df, order=order, block_bytes=1 << 10).collect()}
+        assert set(got) == set(want)
+        assert all(abs(s - want[i]) / n < 0.02 for i, (s, n) in got.items()), order
+    assert L.score(df.limit(0), order=3).count() == 0
+    assert {r.doc_id: r.score for r in L.score(df).collect()} == {r.doc_id: r.score for r in L.score(df, order=2).collect()}
+
+
 def test_scores(spark):
     rnd = random.Random(1)
     rows = [(i, " ".join(rnd.choice(["a", "B", "b", "cc", "é", "x" * 300]) for _ in range(rnd.randint(0, 30)))) for i in range(200)] + [(None, None), (1, "a a"), (5, ""), (5, "")]
