@@ -19,15 +19,24 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 12 << 20
 
 
+def distinct_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and copies: rows equal in both once, so that no block holds one
+    document many times.  Texts are grouped only where an id repeats."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if base.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return base.withColumn("copies", F.lit(1).cast("long"))
+    return base.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+
+
 def parts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     """How many blocks (and shards) the documents make."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, min(1 << 20, -(-size // block_bytes)))
+    return max(1, -(-size // block_bytes))
 
 
 def block_of(n: int) -> Column:
     """The block of a document, by its id, length and beginning."""
-    return F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(n)).cast("int")
+    return F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(n)).cast("long")
 
 
 #: Bytes of a key in a message.  A shard owns its part of the key space, so two keys of a
@@ -39,7 +48,7 @@ def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Keys that count one first, then the others and their counts."""
     once = counts == 1
     short = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, 8 - KEY_BYTES :]
-    return b"".join((np.uint32(once.sum()).tobytes(), short[once].tobytes(), short[~once].tobytes(), counts[~once].astype(np.uint32).tobytes()))
+    return b"".join((np.uint32(once.sum()).tobytes(), short[once].tobytes(), short[~once].tobytes(), np.minimum(counts[~once], 0xFFFFFFFF).astype(np.uint32).tobytes()))
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:

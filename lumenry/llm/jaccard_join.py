@@ -21,13 +21,19 @@ similarity of 0.8 or more, and the join gives the connected components.
    counted.  What is not queried is in the same component already, or shares no
    prefix and so cannot be linked; components are exact.
 
-Groups emit spanning links, never all pairs, and hold a bounded number of
-members; queries of one group are dealt out in batches of ``BATCH``.
-
-Results: a document without words has an empty set and only itself; one with
-fewer than five words is one shingle of them all.  Ties need no rule.  Repeated
-rows are copies of each other.  A component's id is its smallest doc_id; rows
-without doc_id take part, and have it as well (their own id, null, if alone).
+Groups emit spanning links, never all pairs.  A group's members, and the batches
+of queries held against it, are bounded in number and in shingles (one set alone
+may be larger).  Equal sets of a block are sent once, and what many rows share
+meets them in a broadcast of at most ``OFTEN`` classes.
+
+Results: a null or empty text, or one without words, has an empty set and only
+itself; one with fewer than five words is one shingle of them all.  Whole texts
+are read, however long.  Ties need no rule: a similarity of exactly 0.8 links.
+Rows that repeat an id and a text are worked on once and returned as often as
+they came; rows that repeat an id with another text are documents of their own.
+A component's id is its smallest doc_id; rows without doc_id take part, and have
+it as well (null, if no row of theirs has one).  An empty table gives an empty
+one.  Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -38,15 +44,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .textkit import LOWER, NOT_SPACE, Words, distinct, mix, pieces, shingles, text_buffer
+from .textkit import LOWER, NOT_SPACE, Words, distinct, mix, pieces, shingles, text_buffer, unused
 from .workspace import written
 
 WORDS = 5
 PERCENT = 80
 GROUP = 256
-#: Ids of dropped rows that are sent to every executor at most.
-SENT = 1_000_000
 BATCH = 512
+#: Shingles of a group, and of a batch of queries.
+TOKENS = 1 << 18
+#: Ids of dropped rows that are sent to every executor at most.
+SENT = 250_000
+#: A class with this share of the rows meets them in a broadcast; so there are no more of those than the divisor.
+OFTEN = 1_000
 
 
 def _sets(column: pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,15 +77,26 @@ def _code(df: np.ndarray) -> np.ndarray:
     return np.where(df < 128, df, np.minimum(high, 255)).astype(np.uint8)
 
 
+def _keys(table: pa.Table, hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """(distinct keys, inverse, counts); a row counts as often as it came.  No inverse where no row came twice."""
+    copies = table.column("copies").to_numpy()
+    if (copies == 1).all():
+        keys, counts = np.unique(hashes, return_counts=True)
+        return keys, None, counts
+    keys, inverse = np.unique(hashes, return_inverse=True)
+    return keys, inverse, np.bincount(inverse, copies[row], minlength=len(keys)).astype(np.int64)
+
+
 def _ask(k: int, shards: int):
     def run(key, table):
-        hashes, _ = _sets(table.column("text"), k)
-        keys, counts = np.unique(hashes, return_counts=True)
+        hashes, row = _sets(table.column("text"), k)
+        keys, _, counts = _keys(table, hashes, row)
+        del hashes, row
         order, cuts = exchange.by_shard(keys, shards)
         keys, counts = keys[order], counts[order]
         full = [s for s in range(shards) if cuts[s + 1] > cuts[s]]
         blobs = [exchange.pack(keys[cuts[s] : cuts[s + 1]], counts[cuts[s] : cuts[s + 1]]) for s in full]
-        return pa.table({"shard": pa.array(full, pa.int32()), "block": pa.array([key[0].as_py()] * len(full), pa.int32()), "data": pa.array(blobs, pa.binary())})
+        return pa.table({"shard": pa.array(full, pa.int64()), "block": pa.array([key[0].as_py()] * len(full), pa.int64()), "data": pa.array(blobs, pa.binary())})
 
     return run
 
@@ -91,8 +112,10 @@ def _answer(key, table):
     return pa.table({"block": table.column("block"), "shard": table.column("shard"), "data": pa.array(blobs, pa.binary())})
 
 
-_SETS = "doc_id long, n_shingles long, node binary, shingles binary, prefix array<long>"
-_SETS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("shingles", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+_SETS = "doc_id long, text_hash long, copies long, n_shingles long, node binary, shingles binary, prefix array<long>"
+_SETS_SCHEMA = pa.schema(
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("copies", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("shingles", pa.binary()), ("prefix", pa.list_(pa.int64()))]
+)
 
 
 def _least_shared(n: np.ndarray, percent: int) -> np.ndarray:
@@ -103,44 +126,46 @@ def _resolve(k: int, shards: int, percent: int):
     def run(key, docs, answers):
         rows = docs.num_rows
         hashes, row = _sets(docs.column("text"), k)
-        unique, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        same = [docs.column(c).combine_chunks() for c in ("doc_id", "text_hash", "copies")]
+        unique, inverse, counts = _keys(docs, hashes, row)
+        del docs
         order, cuts = exchange.by_shard(unique, shards)
         code = np.zeros(len(unique), dtype=np.uint8)
         for shard, data in zip(answers.column("shard").to_pylist(), answers.column("data").to_pylist(), strict=True):
             mine = order[cuts[shard] : cuts[shard + 1]]
             code[mine[exchange.packed_order(counts[mine])]] = np.frombuffer(data, np.uint8)
-        df = code[inverse]
+        del order, counts, answers
+        df = code[np.searchsorted(unique, hashes) if inverse is None else inverse]
+        del unique, inverse
         n = np.bincount(row, minlength=rows)
         own = np.bincount(row[df == 1], minlength=rows)
         first = np.searchsorted(row, np.arange(rows + 1))
-        sums = [np.zeros(rows, dtype=np.uint64) for _ in range(2)]
-        np.add.at(sums[0], row, mix(hashes))
-        np.add.at(sums[1], row, mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))
         need = _least_shared(n, percent)
-        stays = (n > 0) & (n - own >= need)
-        rare = np.lexsort((hashes, df, row))  # by row, rarest first
-        nodes, sets, prefixes = [None] * rows, [None] * rows, [None] * rows
-        for i in np.flatnonzero(stays):
-            a, b = first[i], first[i + 1]
-            nodes[i] = sums[0][i].tobytes() + sums[1][i].tobytes()
-            sets[i] = hashes[a:b].tobytes()
-            at = rare[a : a + n[i] - need[i] + 1]
-            prefixes[i] = hashes[at[df[at] > 1]].view(np.int64).tolist()
-        return pa.table(
-            [docs.column("doc_id").combine_chunks(), pa.array(n), pa.array(nodes, pa.binary()), pa.array(sets, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], schema=_SETS_SCHEMA
-        )
+        nodes, sets, prefixes, met = [None] * rows, [None] * rows, [None] * rows, set()
+        for i in np.flatnonzero((n > 0) & (n - own >= need)):
+            mine = hashes[first[i] : first[i + 1]]
+            sums = mix(mine).sum(dtype=np.uint64), mix(mine ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+            nodes[i] = sums[0].tobytes() + sums[1].tobytes()
+            if nodes[i] in met:  # a block sends a set once, whatever copies it holds
+                continue
+            met.add(nodes[i])
+            often = df[first[i] : first[i + 1]]
+            rarest = np.lexsort((mine, often))[: n[i] - need[i] + 1]
+            sets[i], prefixes[i] = mine.tobytes(), mine[rarest[often[rarest] > 1]].view(np.int64).tolist()
+        return pa.table([*same, pa.array(n), pa.array(nodes, pa.binary()), pa.array(sets, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], schema=_SETS_SCHEMA)
 
     return run
 
 
 def resolved_sets(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, block_bytes: int = exchange.BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_shingles and, for documents that could be linked, node (the set's
-    signature), shingles and prefix.  Written to the shared folder."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """A row for each distinct (doc_id, text): text_hash, copies, n_shingles, and for
+    documents that could be linked node, the set's signature; shingles and prefix stand
+    on one row at least of each node.  Written to the shared folder."""
+    base = exchange.distinct_rows(docs).withColumn("text_hash", F.xxhash64("text"))
     n = exchange.parts(base, block_bytes)
     dealt = base.withColumn("block", exchange.block_of(n))
-    asked = dealt.groupBy("block").applyInArrow(_ask(k, n), "shard int, block int, data binary")
-    answers = asked.groupBy("shard").applyInArrow(_answer, "block int, shard int, data binary")
+    asked = dealt.groupBy("block").applyInArrow(_ask(k, n), "shard long, block long, data binary")
+    answers = asked.groupBy("shard").applyInArrow(_answer, "block long, shard long, data binary")
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_resolve(k, n, percent), _SETS)
     return written(out, "jaccard-sets")
 
@@ -254,20 +279,21 @@ def _comparable(low: str, high: str, n: str, percent: int):
     return (100 * F.col(high) >= percent * F.col(n)) & (percent * F.col(low) <= 100 * F.col(n))
 
 
+def _cuts(n: str, many: int):
+    """Parts that a group of rows makes, with ``many`` rows and ``TOKENS`` shingles each."""
+    return F.greatest(F.ceil(F.count("*") / many), F.ceil(F.sum(n) / TOKENS))
+
+
 def linked_components(sets: DataFrame, *, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
-    """(node, comp) of the classes of resolved_sets()."""
+    """(node, comp) of the classes of resolved_sets() that share a prefix shingle with another."""
     # one row of each class; its copies' sets stay in the table
-    able = sets.where("node is not null")
-    pick = able.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("pick"))
-    own = F.coalesce("doc_id", F.lit(-(2**63)))
-    one = able.join(pick.withColumnRenamed("node", "_node"), (able.node == F.col("_node")) & (own == F.col("pick"))).select("node", "n_shingles", "shingles", "prefix")
-    one = written(one.dropDuplicates(["node"]), "jaccard-classes")
+    one = written(sets.where("shingles is not null").select("node", "n_shingles", "shingles", "prefix").dropDuplicates(["node"]), "jaccard-classes")
 
     tokens = one.select("node", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
     lists = tokens.groupBy("token").agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1").select(F.col("token").alias("_token"), "least")
     tokens = written(tokens.join(lists, F.col("token") == F.col("_token")).select("token", "node", "n", "least"), "jaccard-tokens")
     family = tokens.groupBy("node", "n").agg(F.min("least").alias("family"))
-    size = family.groupBy("family").agg(F.count("*").alias("c")).select(F.col("family").alias("_family"), F.ceil(F.col("c") / group).alias("cuts"))
+    size = family.groupBy("family").agg(_cuts("n", group).alias("cuts")).withColumnRenamed("family", "_family")
     family = family.join(size, F.col("family") == F.col("_family")).select("node", "n", "family", "cuts", F.pmod(F.xxhash64("node"), F.col("cuts")).alias("cut"))
     name = lambda cut: F.concat("family", F.lit(":"), cut.cast("string")).cast("binary")
     up = F.floor((F.col("cut") - 1) / 2)
@@ -279,8 +305,8 @@ def linked_components(sets: DataFrame, *, percent: int = PERCENT, group: int = G
     comp = components(family, links)
 
     def against(queries: DataFrame, comp: DataFrame) -> DataFrame:
-        """Links found by queries (node, grp): each against all members of the group."""
-        batches = queries.groupBy("grp").agg(F.ceil(F.count("*") / BATCH).alias("batches"))
+        """Links found by queries (node, n, grp): each against all members of the group."""
+        batches = queries.groupBy("grp").agg(_cuts("n", BATCH).alias("batches"))
         sized = batches.select(F.col("grp").alias("_grp"), "batches")
         dealt = queries.join(sized, F.col("grp") == F.col("_grp")).select("node", "grp", F.pmod(F.xxhash64("node"), F.col("batches")).alias("batch"))
         full = one.select("node", "shingles").join(comp, "node")
@@ -291,7 +317,7 @@ def linked_components(sets: DataFrame, *, percent: int = PERCENT, group: int = G
         asked, members = fresh(asked), fresh(members)
         return asked.groupBy("grp", "batch").cogroup(members.groupBy("grp", "batch")).applyInArrow(_other_group(percent), "a binary, b binary")
 
-    beside = written(against(family.where("next is not null").select("node", F.col("next").alias("grp")), comp), "jaccard-links")
+    beside = written(against(family.where("next is not null").select("node", "n", F.col("next").alias("grp")), comp), "jaccard-links")
     if not beside.isEmpty():
         links = links.union(beside)
         comp = components(family, links)
@@ -303,43 +329,65 @@ def linked_components(sets: DataFrame, *, percent: int = PERCENT, group: int = G
     matrix = rows.groupBy("token", "grp").agg(F.max("rank").alias("top"), F.min("n").alias("low"), F.max("n").alias("high"))
     matrix = matrix.select(F.col("token").alias("_token"), F.col("grp").alias("other"), "top", "low", "high")
     meets = (F.col("token") == F.col("_token")) & (F.col("top") > F.col("rank")) & _comparable("low", "high", "n", percent)
-    queries = written(rows.join(matrix, meets).select("node", F.col("other").alias("grp")).distinct(), "jaccard-queries")
+    queries = written(rows.join(matrix, meets).select("node", "n", F.col("other").alias("grp")).distinct(), "jaccard-queries")
     last = written(against(queries, comp), "jaccard-links")
     return comp if last.isEmpty() else components(family, links.union(last))
 
 
-def join(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs."""
+def members(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """A row for each distinct (doc_id, text): text_hash, copies, n_shingles and pick,
+    the least (nameless, doc_id, text_hash) of its component, null where it is alone."""
     sets = resolved_sets(docs, k=k, percent=percent)
     comp = linked_components(sets, percent=percent)
-    rows = sets.select("doc_id", "n_shingles", "node")
-    able = rows.where("node is not null").join(comp.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    able = able.select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
-    least = able.groupBy("comp").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("comp", "_comp")
-    able = able.join(least, F.col("comp") == F.col("_comp")).select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return able.unionByName(alone)
+    rows = sets.select("doc_id", "text_hash", "copies", "n_shingles", "node")
+    least = F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "text_hash"))
+    classes = rows.where("node is not null").groupBy("node").agg(least.alias("least"), F.count("*").alias("c"))
+    named = classes.join(comp.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    named = written(named.select("node", F.coalesce("comp", "node").alias("comp"), "least", "c"), "jaccard-named")
+    picks = named.groupBy("comp").agg(F.min("least").alias("pick"), F.sum("c").alias("all")).where("all > 1").withColumnRenamed("comp", "_comp")
+    picks = written(named.join(picks, F.col("comp") == F.col("_comp")).select(F.col("node").alias("_node"), "pick", "c"), "jaccard-picks")
+    total = picks.agg(F.sum("c")).first()[0] or 0
+    often = picks.where(F.col("c") > max(OFTEN, total // OFTEN))
+    met = F.col("node") == F.col("_node")
+    out = ["doc_id", "text_hash", "copies", "n_shingles", "pick"]
+    if often.isEmpty():
+        return rows.join(picks, met, "left").select(*out)
+    often = F.broadcast(often)
+    return rows.join(often, met).select(*out).unionByName(rows.join(often, met, "left_anti").join(picks, met, "left").select(*out))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs less all but one of each component: the smallest doc_id's, once.
+def join(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of docs."""
+    found = members(docs, k=k, percent=percent)
+    component = F.when(F.col("pick").isNull(), F.col("doc_id")).otherwise(F.col("pick.doc_id"))
+    again = F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), again.alias("_nth")).drop("_nth")
 
-    A row without doc_id goes by a hash of its text, above all ids that there are
-    likely to be; so a component keeps a row that has an id, if any has.
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs less all but one of each component: the smallest doc_id's stays
+    (ties: the one whose text has the least hash), one without doc_id only if no other is
+    there.  Rows are told apart by doc_id and text; of rows equal in both one stays, the
+    least as JSON.  Rows without words stay, all of them.  Columns of any name pass through.
     """
-    columns = [f"`{c}`" for c in docs.columns]
-    name = "_key"
-    while name in docs.columns:
-        name += "_"
-    nameless = F.lit(2**62) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
-    keyed = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), nameless))
-    found = join(keyed.select(F.col(name).alias("doc_id"), "text"))
-    found = written(found.select(F.col("doc_id").alias("_id"), "component_id"), "jaccard-components")
-    goes = found.where("_id <> component_id").select("_id").distinct()
-    # a short list of ids goes to every executor; a longer one meets the rows in a shuffle
-    goes = written(goes, "jaccard-dropped")
-    sent = F.broadcast if goes.count() <= SENT else (lambda df: df)
-    stays = keyed.join(sent(goes), F.col(name) == F.col("_id"), "left_anti")
-    if not found.where("_id = component_id").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        stays = stays.dropDuplicates([name, "text"])
-    return stays.select(*columns)
+    columns = docs.columns
+    here, i, t = unused(columns, "text_hash", "other_id", "other_hash")
+    keyed = docs.withColumn(here, F.xxhash64("text"))
+    found = written(members(docs), "jaccard-members")
+    stays = (F.col("pick.text_hash") == F.col("text_hash")) & F.col("pick.doc_id").eqNullSafe(F.col("doc_id"))
+    met = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(here) == F.col(t))
+
+    def sent(df: DataFrame) -> DataFrame:
+        """A short list of rows goes to every executor; a longer one meets the rows in a shuffle."""
+        df = written(df.select(F.col("doc_id").alias(i), F.col("text_hash").alias(t)), "jaccard-rows")
+        return F.broadcast(df) if df.count() <= SENT else df
+
+    left = keyed.join(sent(found.where("pick is not null").where(~stays)), met, "left_anti")
+    again = found.where("copies > 1 and n_shingles > 0").where(F.col("pick").isNull() | stays)
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns])
+    if again.isEmpty():
+        return left.select(*[f"`{c}`" for c in columns])
+    again = sent(again)
+    once = left.join(again, met, "left_semi").select(F.col("doc_id").alias(i), F.col(here).alias(t), whole.alias(here))
+    once = once.groupBy(i, t).agg(F.min_by(here, F.to_json(here)).alias(here)).select(*[F.col(here)[c].alias(c) for c in columns])
+    return left.join(again, met, "left_anti").select(*[f"`{c}`" for c in columns]).unionByName(once)

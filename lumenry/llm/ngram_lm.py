@@ -318,7 +318,7 @@ def _ask(shards: int, order: int):
             if len(mine) or any(map(len, grams)):
                 packed = [_pack_pairs(g[0][i], n[i], c[i]) for g, n, c, i in zip(t.grams, successors, counts, grams, strict=True)]
                 rows.append((s, _pack_words(t.words[mine], word_counts[mine]), *packed))
-        columns = {"shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([key[0].as_py()] * len(rows), pa.int32())}
+        columns = {"shard": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([key[0].as_py()] * len(rows), pa.int64())}
         return pa.table(columns | {c: pa.array([r[i] for r in rows], pa.binary()) for i, c in enumerate(("words", *_levels(order)), 1)})
 
     return run
@@ -375,8 +375,8 @@ def _answer(order: int):
 
 def _schemas(order: int) -> tuple[str, str]:
     """Of questions and of answers."""
-    ask = "shard int, block int, words binary, " + ", ".join(f"{c} binary" for c in _levels(order))
-    answer = "block int, shard int, words binary, " + ", ".join(f"{c} binary, {c}_low double, {c}_unit double" for c in _levels(order))
+    ask = "shard long, block long, words binary, " + ", ".join(f"{c} binary" for c in _levels(order))
+    answer = "block long, shard long, words binary, " + ", ".join(f"{c} binary, {c}_low double, {c}_unit double" for c in _levels(order))
     return ask, answer + ", tokens long, types long"
 
 

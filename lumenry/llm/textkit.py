@@ -159,6 +159,19 @@ def distinct(hash_: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hash_[keep], row[keep]
 
 
+def unused(taken: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has, in whatever case."""
+    held = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def append_struct(df, name: str, fields: str, compute):
     """df with a struct column ``name`` that ``compute(text array) -> list of
     arrays`` derives from its text column; every other column passes through.

@@ -175,14 +175,55 @@ def test_small_groups_and_blocks(spark):
     assert all(want[r.doc_id] == least[comp.get(bytes(r.node), bytes(r.node))] for r in able)
 
 
+def kept(rows):
+    """(doc_id, text) of the rows that stay, by brute force over rows with a place each."""
+    comps = join_rows([(i, t) for i, (_, t) in enumerate(rows)])
+    best, out = {}, []
+    for place, n, c in comps:
+        if not n:
+            out.append(rows[place])
+            continue
+        d, t = rows[place]
+        best[c] = min(best.get(c, (True, 0)), (d is None, d or 0))
+    return sorted(out, key=str), sorted((d if not nameless else None for nameless, d in best.values()), key=str)
+
+
 def test_keep_one(spark):
-    rows = near_copies(120, seed=7)
-    df = spark.createDataFrame(rows, DOCS).withColumn("_key", F.lit(1)).withColumn("component_id", F.lit("x"))
+    rows = near_copies(120, seed=7) + [(3, "another text of the same id"), (5, "one"), (5, "again with id five here"), (None, "one"), (None, "solo words"), (9, None)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"_key": F.lit(1), "component_id": F.lit("x"), "_id": F.lit(2), "_Text_hash": F.lit(3), "a.b": F.lit(4)})
     out = J.keep_one(df)
     assert out.columns == df.columns
-    want = sorted({c for _, _, c in join_rows([r for r in rows if r[0] is not None])})
-    got = [r.doc_id for r in out.collect()]
-    assert sorted(d for d in got if d is not None) == want and got.count(None) == 1
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    bare, ids = kept(rows)
+    assert sorted((r for r in got if not (r[1] or "").split()), key=str) == bare
+    assert sorted((d for d, t in got if (t or "").split()), key=str) == ids
+    assert set(got) <= set(rows)
+
+
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    a, b = "first text of some words", "second text of quite other words"
+    df = spark.createDataFrame([(3, a, "x"), (5, a, "y"), (5, b, "z"), (7, b, "u"), (7, b, "u")], f"{DOCS}, lang string")
+    assert sorted(map(tuple, J.keep_one(df).collect())) == [(3, a, "x"), (5, b, "z")]
+    again = spark.createDataFrame([(1, a, "y"), (1, a, "x"), (2, b, None)], f"{DOCS}, lang string")
+    assert sorted(map(tuple, J.keep_one(again).collect())) == [(1, a, "x"), (2, b, None)]
+
+
+def test_one_large_group_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(J, "OFTEN", 10)
+    text = " ".join(f"w{i}" for i in range(40))
+    near = lambda i: f"{text} tail{i}"
+    rows = [(i, text) for i in range(300)] + [(1000 + i, near(i)) for i in range(300)] + [(5000 + i, f"own words {i} of this row and more {i * 7}") for i in range(50)] + [(4, "something else entirely here")]
+    df = spark.createDataFrame(rows, DOCS)
+    got = collections.Counter(r.component_id for r in J.join(df).collect())
+    assert got[0] == 600 and got[4] == 1 and len(got) == 52
+    assert J.keep_one(df).count() == 52
+
+
+def test_groups_are_bounded_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(J, "TOKENS", 300)
+    rows = near_copies(300, seed=8)
+    got = sorted((tuple(r) for r in J.join(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    assert got == join_rows(rows)
 
 
 def test_empty_join(spark):
