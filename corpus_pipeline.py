@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenry.llm import decontamination, jaccard_join, mixing, pii, quality_rules
-from lumenry.llm.workspace import written
+from lumenry.llm.workspace import tidied, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over documents."""
     docs = _table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    *first, last = STAGES[:-1]
+    with tidied(spark):  # only the table that the last stage reads stays
+        for name, stage in first:
+            with tidied(spark):
+                docs = written(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        docs = written(last[1](spark, docs, sf_dir), f"stage-{last[0]}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from . import exchange
 from .textkit import LOWER, NOT_SPACE, Words, distinct, mix, pieces, shingles, text_buffer, unused
-from .workspace import written
+from .workspace import tidied, written
 
 WORDS = 5
 PERCENT = 80
@@ -167,7 +167,7 @@ def resolved_sets(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, bl
     asked = dealt.groupBy("block").applyInArrow(_ask(k, n), "shard long, block long, data binary")
     answers = asked.groupBy("shard").applyInArrow(_answer, "block long, shard long, data binary")
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_resolve(k, n, percent), _SETS)
-    return written(out, "jaccard-sets")
+    return written(out, "jaccard-sets", keep=True)
 
 
 class _Forest:
@@ -254,13 +254,14 @@ def _other_group(percent: int):
     return run
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, comp): comp is the least node that links reach.  Labels fall along
-    links and jump over labels, so the rounds grow with the log of a path."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    label = written(nodes.select("node", F.col("node").alias("comp")), "labels")
-    if both.isEmpty():
+    links and jump over labels, so the rounds grow with the log of a path.
+    rows: how many nodes there are at most, for the size of the files."""
+    label = nodes.select("node", F.col("node").alias("comp"))
+    if links.isEmpty():
         return label
+    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links", rows)
     while True:
         fell = both.join(label, both.a == label.node).groupBy(both.b.alias("node")).agg(F.min("comp").alias("least"))
         fallen = label.join(fell, "node", "left").select("node", "comp", F.least("comp", "least").alias("now"))
@@ -268,9 +269,9 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         heard = fallen.groupBy("comp").agg(F.min("now").alias("now"))
         roots = heard.select(F.col("comp").alias("root"), F.col("now").alias("top"))
         jumped = fallen.join(roots, fallen.now == roots.root, "left").select("node", "comp", F.least("now", "top").alias("next"))
-        label2 = written(jumped, "labels")
-        label = label2.select("node", F.col("next").alias("comp"))
-        if label2.where("next < comp").isEmpty():
+        round_ = written(jumped, "labels", rows)
+        label = round_.select("node", F.col("next").alias("comp"))
+        if round_.where("next < comp").isEmpty():
             return label
 
 
@@ -287,22 +288,23 @@ def _cuts(n: str, many: int):
 def linked_components(sets: DataFrame, *, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
     """(node, comp) of the classes of resolved_sets() that share a prefix shingle with another."""
     # one row of each class; its copies' sets stay in the table
-    one = written(sets.where("shingles is not null").select("node", "n_shingles", "shingles", "prefix").dropDuplicates(["node"]), "jaccard-classes")
-
+    able = sets.where("shingles is not null")
+    one = written(able.select("node", "n_shingles", "shingles", "prefix").dropDuplicates(["node"]), "jaccard-classes", able.count())
+    rows, entries = one.agg(F.count("*"), F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()
     tokens = one.select("node", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
     lists = tokens.groupBy("token").agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1").select(F.col("token").alias("_token"), "least")
-    tokens = written(tokens.join(lists, F.col("token") == F.col("_token")).select("token", "node", "n", "least"), "jaccard-tokens")
+    tokens = written(tokens.join(lists, F.col("token") == F.col("_token")).select("token", "node", "n", "least"), "jaccard-tokens", entries)
     family = tokens.groupBy("node", "n").agg(F.min("least").alias("family"))
     size = family.groupBy("family").agg(_cuts("n", group).alias("cuts")).withColumnRenamed("family", "_family")
     family = family.join(size, F.col("family") == F.col("_family")).select("node", "n", "family", "cuts", F.pmod(F.xxhash64("node"), F.col("cuts")).alias("cut"))
     name = lambda cut: F.concat("family", F.lit(":"), cut.cast("string")).cast("binary")
     up = F.floor((F.col("cut") - 1) / 2)
-    family = written(family.select("node", "n", name(F.col("cut")).alias("grp"), F.when(F.col("cut") > 0, name(up)).alias("next")), "jaccard-groups")
+    family = written(family.select("node", "n", name(F.col("cut")).alias("grp"), F.when(F.col("cut") > 0, name(up)).alias("next")), "jaccard-groups", rows)
 
     held = one.select("node", "shingles").join(family, "node")
     first = held.select("node", "shingles", "grp").groupBy("grp").applyInArrow(_own_group(percent), "a binary, b binary")
-    links = written(first, "jaccard-links")
-    comp = components(family, links)
+    links = written(first, "jaccard-links", rows)
+    comp = components(family, links, rows)
 
     def against(queries: DataFrame, comp: DataFrame) -> DataFrame:
         """Links found by queries (node, n, grp): each against all members of the group."""
@@ -317,42 +319,44 @@ def linked_components(sets: DataFrame, *, percent: int = PERCENT, group: int = G
         asked, members = fresh(asked), fresh(members)
         return asked.groupBy("grp", "batch").cogroup(members.groupBy("grp", "batch")).applyInArrow(_other_group(percent), "a binary, b binary")
 
-    beside = written(against(family.where("next is not null").select("node", "n", F.col("next").alias("grp")), comp), "jaccard-links")
+    beside = written(against(family.where("next is not null").select("node", "n", F.col("next").alias("grp")), comp), "jaccard-links", rows)
     if not beside.isEmpty():
         links = links.union(beside)
-        comp = components(family, links)
+        comp = components(family, links, rows)
 
     # the rest: components of a pair differ; the lower-ranked side asks
     rank = comp.groupBy("comp").agg(F.count("*").alias("c")).select(F.col("comp").alias("_comp"), F.struct("c", "comp").alias("rank"))
     ranked = comp.join(rank, F.col("comp") == F.col("_comp")).select("node", "rank").join(family.select("node", "grp"), "node")
-    rows = tokens.select("token", "node", "n").join(ranked, "node")
-    matrix = rows.groupBy("token", "grp").agg(F.max("rank").alias("top"), F.min("n").alias("low"), F.max("n").alias("high"))
+    held = tokens.select("token", "node", "n").join(ranked, "node")
+    matrix = held.groupBy("token", "grp").agg(F.max("rank").alias("top"), F.min("n").alias("low"), F.max("n").alias("high"))
     matrix = matrix.select(F.col("token").alias("_token"), F.col("grp").alias("other"), "top", "low", "high")
     meets = (F.col("token") == F.col("_token")) & (F.col("top") > F.col("rank")) & _comparable("low", "high", "n", percent)
-    queries = written(rows.join(matrix, meets).select("node", "n", F.col("other").alias("grp")).distinct(), "jaccard-queries")
-    last = written(against(queries, comp), "jaccard-links")
-    return comp if last.isEmpty() else components(family, links.union(last))
+    queries = written(held.join(matrix, meets).select("node", "n", F.col("other").alias("grp")).distinct(), "jaccard-queries", entries)
+    last = written(against(queries, comp), "jaccard-links", rows)
+    return comp if last.isEmpty() else components(family, links.union(last), rows)
 
 
 def members(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A row for each distinct (doc_id, text): text_hash, copies, n_shingles and pick,
     the least (nameless, doc_id, text_hash) of its component, null where it is alone."""
-    sets = resolved_sets(docs, k=k, percent=percent)
-    comp = linked_components(sets, percent=percent)
-    rows = sets.select("doc_id", "text_hash", "copies", "n_shingles", "node")
     least = F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "text_hash"))
-    classes = rows.where("node is not null").groupBy("node").agg(least.alias("least"), F.count("*").alias("c"))
-    named = classes.join(comp.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    named = written(named.select("node", F.coalesce("comp", "node").alias("comp"), "least", "c"), "jaccard-named")
+    with tidied(docs.sparkSession):
+        sets = resolved_sets(docs, k=k, percent=percent)
+        comp = linked_components(sets, percent=percent)
+        rows = sets.select("doc_id", "text_hash", "copies", "n_shingles", "node")
+        classes = rows.where("node is not null").groupBy("node").agg(least.alias("least"), F.count("*").alias("c"))
+        named = classes.join(comp.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+        many = sets.where("shingles is not null").count()
+        named = written(named.select("node", F.coalesce("comp", "node").alias("comp"), "least", "c"), "jaccard-named", many, keep=True)
+    total = named.agg(F.sum("c")).first()[0] or 0
     picks = named.groupBy("comp").agg(F.min("least").alias("pick"), F.sum("c").alias("all")).where("all > 1").withColumnRenamed("comp", "_comp")
-    picks = written(named.join(picks, F.col("comp") == F.col("_comp")).select(F.col("node").alias("_node"), "pick", "c"), "jaccard-picks")
-    total = picks.agg(F.sum("c")).first()[0] or 0
-    often = picks.where(F.col("c") > max(OFTEN, total // OFTEN))
+    picks = named.join(picks, F.col("comp") == F.col("_comp")).select(F.col("node").alias("_node"), "pick", "c")
+    often = picks.where(F.col("c") > max(OFTEN, total // OFTEN)).drop("c")
     met = F.col("node") == F.col("_node")
     out = ["doc_id", "text_hash", "copies", "n_shingles", "pick"]
-    if often.isEmpty():
+    if named.where(F.col("c") > max(OFTEN, total // OFTEN)).isEmpty():
         return rows.join(picks, met, "left").select(*out)
-    often = F.broadcast(often)
+    often = F.broadcast(written(often, "jaccard-often", OFTEN))
     return rows.join(often, met).select(*out).unionByName(rows.join(often, met, "left_anti").join(picks, met, "left").select(*out))
 
 
@@ -373,13 +377,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     here, i, t = unused(columns, "text_hash", "other_id", "other_hash")
     keyed = docs.withColumn(here, F.xxhash64("text"))
-    found = written(members(docs), "jaccard-members")
+    rows = docs.count()
+    with tidied(docs.sparkSession):
+        found = written(members(docs), "jaccard-members", rows, keep=True)
     stays = (F.col("pick.text_hash") == F.col("text_hash")) & F.col("pick.doc_id").eqNullSafe(F.col("doc_id"))
     met = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(here) == F.col(t))
 
     def sent(df: DataFrame) -> DataFrame:
         """A short list of rows goes to every executor; a longer one meets the rows in a shuffle."""
-        df = written(df.select(F.col("doc_id").alias(i), F.col("text_hash").alias(t)), "jaccard-rows")
+        df = written(df.select(F.col("doc_id").alias(i), F.col("text_hash").alias(t)), "jaccard-rows", rows)
         return F.broadcast(df) if df.count() <= SENT else df
 
     left = keyed.join(sent(found.where("pick is not null").where(~stays)), met, "left_anti")

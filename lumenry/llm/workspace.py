@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from ..sources.scratch import cut_lineage as written
-from ..sources.scratch import shared_dir
+from ..sources.scratch import shared_dir, tidied
 
-__all__ = ["shared_dir", "written"]
+__all__ = ["shared_dir", "tidied", "written"]
