@@ -2,16 +2,22 @@
 
 A page is cut into flat blocks: runs of text between block-level tags, with
 character references decoded and white space made single spaces.  Each block
-has its word count and link density, those of its neighbours, and flags for
-where it stands.  A decision tree, trained by this module on a small labelled
-table, classifies the blocks; the main ones are joined in page order.
-
-The labelled table is made from the pages in ``LABELLED``; there, the main
+has its word count and link density, those of its neighbours, and where it
+stands: in an element that is beside the article by its tag or by a name that
+leaves no doubt, or by a name that an article's wrapper may bear as well; then
+what share of the words that may be the article's stands there, and how much of
+them and those in no such element is left without it.
+A decision tree, trained by this module on a small labelled table, classifies
+the blocks; the main ones are joined in page order.
+
+The labelled table is made from the pages in ``labelled_pages``; there, the main
 blocks start with a pilcrow.
 
 Results: a null or empty page has an empty text, as has one without main
-blocks.  A page that breaks off inside a tag ends before that tag.  Rows are
-independent: repeated pages give equal texts.  Columns of any name pass through.
+blocks.  A page that breaks off inside a tag ends before that tag; an end tag
+that nothing waits for is passed over.  Whole pages are read, in time that
+grows with their length.  Rows are independent: repeated pages give equal
+texts.  An empty table gives an empty one.  Columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -45,6 +51,11 @@ ASIDE_WORDS = frozenset(
     " login share sharing social related recommended recommendations trending popular widget comment comments commentlist respond reply replies"
     " disqus discussion toolbar pagination pager copyright legal disclaimer search skip contentinfo complementary dialog topbar sitenav".split()
 )
+#: Of these, the ones that say no more than what a text is about, or how its box looks.
+DOUBTFUL_WORDS = frozenset(
+    "banner promo promos promotion sponsor sponsored notice notices notification alert popup modal overlay dialog share sharing social related"
+    " recommended recommendations trending popular widget menu navigation copyright legal disclaimer search skip complementary masthead toolbar".split()
+)
 MAIN_WORDS = frozenset("article main content post entry story".split())
 #: What a name of several parts may have besides: which box it is, never what state a page is in (no-sidebar, comments-open).
 BOX_WORDS = MAIN_WORDS | frozenset(
@@ -63,46 +74,56 @@ _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _NAMES = re.compile(r"[a-z0-9]+")
 
-FEATURES = ["words", "links", "before_words", "before_links", "after_words", "after_links", "aside", "main", "heading", "sentence", "outside"]
+FEATURES = ["words", "links", "before_words", "before_links", "after_words", "after_links", "aside", "main", "heading", "sentence", "outside", "share", "left"]
+#: How much an element is beside the article.
+NOT_ASIDE, DOUBTFUL, ASIDE = 0, 1, 2
 
 
 @lru_cache(maxsize=1 << 14)
-def _meaning(name: str) -> int:
-    """Of a class, id or role as a whole, as in _place.  A part that marks an aside counts only
-    where the rest says no more than which box it is; content-sidebar and the like are layouts."""
+def _meaning(name: str) -> tuple[int, bool]:
+    """Of a class, id or role as a whole: how much it marks an aside, and whether it marks the article.
+    A part that marks an aside counts only where the rest says no more than which box it is;
+    content-sidebar and the like are layouts."""
     parts = set(_NAMES.findall(name))
-    if parts & ASIDE_WORDS:
+    marks = parts & ASIDE_WORDS
+    if marks:
         layout = "sidebar" in parts and parts & {"content", "main"}
-        return int(not layout and all(p in ASIDE_WORDS or p in BOX_WORDS or p.isdigit() for p in parts))
-    return 2 if parts & MAIN_WORDS else 0
+        if layout or not all(p in ASIDE_WORDS or p in BOX_WORDS or p.isdigit() for p in parts):
+            return NOT_ASIDE, False
+        return DOUBTFUL if marks <= DOUBTFUL_WORDS else ASIDE, False
+    return NOT_ASIDE, bool(parts & MAIN_WORDS)
 
 
-def _place(tag: str, attrs: str, in_main: bool) -> int:
-    """1: what opens here is beside the article; 2: it is the article; 0: neither."""
+def _place(tag: str, attrs: str, in_main: bool) -> tuple[int, bool]:
+    """How much what opens here is beside the article, and whether it is the article."""
     if tag in WHOLE_TAGS:
-        return 0
-    if tag in MAIN_TAGS:
-        kind = 2
-    elif tag in ASIDE_TAGS or (tag == "header" and not in_main):
-        kind = 1
-    else:
-        kind = 0
+        return NOT_ASIDE, False
+    main = tag in MAIN_TAGS
+    aside = ASIDE if tag in ASIDE_TAGS or (tag == "header" and not in_main) else NOT_ASIDE
     if attrs and "=" in attrs or "hidden" in attrs.lower():
-        means = {_meaning(n) for m in _MARKS.finditer(attrs) for n in (m[1] or m[2] or m[3] or "").lower().split()}
-        if 1 in means or _HIDDEN.search(attrs):
-            return 1
-        if kind == 0 and 2 in means:
-            return 2
-    return kind
-
-
-def flat_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, linked words, beside the article, in the article, heading) of each block."""
-    out = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, aside, main
+        means = [_meaning(n) for m in _MARKS.finditer(attrs) for n in (m[1] or m[2] or m[3] or "").lower().split()]
+        aside = ASIDE if _HIDDEN.search(attrs) else max([aside, *(a for a, _ in means)])
+        main = aside == NOT_ASIDE and (main or any(m for _, m in means)) or main and aside != ASIDE
+    return aside, main
+
+
+class Block:
+    """A run of text and where it stands."""
+
+    __slots__ = ("aside", "heading", "links", "main", "text", "within", "words")
+
+    def __init__(self, text: str, words: int, links: int, aside: int, main: bool, heading: bool, within: int):
+        #: within: the outermost doubtful element around the block, by number; 0 for none.
+        self.text, self.words, self.links, self.aside, self.main, self.heading, self.within = text, words, links, aside, main, heading, within
+
+
+def flat_blocks(page: str) -> list[Block]:
+    out: list[Block] = []
+    stack: list[tuple] = []  # tag, and what holds outside: aside, main, within
+    waiting: dict[str, int] = {}  # open elements by tag, so that a stray end tag costs nothing
     text: list[str] = []
     linked: list[str] = []
-    aside = main = False
+    aside, main, within, doubts = NOT_ASIDE, False, 0, 0
     depth = heading = 0
     end = page.rfind(">") + 1
     tail = page[end:].partition("<")[0]  # a tag that never ends, and what it holds, is dropped
@@ -110,7 +131,7 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     def flush() -> None:
         words = html.unescape("".join(text)).split()
         if words:
-            out.append((" ".join(words), len(words), len(html.unescape(" ".join(linked)).split()), aside, main, heading > 0))
+            out.append(Block(" ".join(words), len(words), len(html.unescape(" ".join(linked)).split()), aside, main, heading > 0, within))
         text.clear()
         linked.clear()
 
@@ -119,6 +140,11 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if depth:
             linked.append(part)
 
+    def shut() -> tuple:
+        tag, *outside = stack.pop()
+        waiting[tag] -= 1
+        return tuple(outside)
+
     at = 0
     for m in _TOKEN.finditer(page, 0, end):
         if m.start() > at:
@@ -139,28 +165,34 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             heading = 0 if m["close"] else 1
             continue
         if m["close"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if stack[i][1:] != (aside, main):
-                        flush()
-                        aside, main = stack[i][1:]
-                    del stack[i:]
-                    break
+            if waiting.get(tag):
+                while stack[-1][0] != tag:
+                    outside = shut()
+                outside = shut()
+                if outside != (aside, main, within):
+                    flush()
+                    aside, main, within = outside
             continue
         attrs = m["attrs"]
         if attrs.endswith("/") and tag not in BLOCK_TAGS:
             continue
-        kind = _place(tag, attrs, main)
-        if tag in BLOCK_TAGS or kind:
-            if kind and tag not in BLOCK_TAGS:
+        beside, article = _place(tag, attrs, main)
+        if tag in BLOCK_TAGS or beside or article:
+            if tag not in BLOCK_TAGS:
                 flush()
             if tag in ("p", "li") and stack and stack[-1][0] == tag:  # an end tag left out
-                aside, main = stack.pop()[1:]
-            stack.append((tag, aside, main))
-            if kind == 1:
-                aside = True
-            elif kind == 2:
-                aside, main = aside and tag not in MAIN_TAGS, True
+                aside, main, within = shut()
+            stack.append((tag, aside, main, within))
+            waiting[tag] = waiting.get(tag, 0) + 1
+            if article:
+                main = True
+                if tag in MAIN_TAGS:
+                    aside, within = NOT_ASIDE, 0
+            if beside:
+                if beside == DOUBTFUL and aside == NOT_ASIDE:
+                    doubts += 1
+                    within = doubts
+                aside = max(aside, beside)
     if at < end:
         add(page[at:end])
     add(tail)
@@ -168,14 +200,25 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     return out
 
 
-def block_features(blocks) -> np.ndarray:
+def block_features(blocks: list[Block]) -> np.ndarray:
     n = len(blocks)
-    has_main = any(b[4] and not b[3] for b in blocks)
     x = np.zeros((n, len(FEATURES)))
-    for i, (text, words, links, aside, main, heading) in enumerate(blocks):
-        x[i, 0], x[i, 1], x[i, 6], x[i, 7], x[i, 8] = words, min(1.0, links / words), aside, main, heading
-        x[i, 9] = text[-1] in ".!?…:;。\"”»'"
-        x[i, 10] = has_main and not main
+    if not n:
+        return x
+    words = np.array([b.words for b in blocks], dtype=float)
+    plain = words - np.minimum(words, [b.links for b in blocks])
+    aside = np.array([b.aside for b in blocks])
+    within = np.array([b.within for b in blocks])
+    main = np.array([b.main for b in blocks])
+    x[:, 0], x[:, 1], x[:, 6], x[:, 7] = words, 1 - plain / words, aside, main
+    x[:, 8] = [b.heading for b in blocks]
+    x[:, 9] = [b.text[-1] in ".!?…:;。\"”»'" for b in blocks]
+    x[:, 10] = (main & (aside == NOT_ASIDE)).any() and ~main
+    # unlinked words in the same doubtful element, and those in no aside at all
+    own = np.where(within > 0, np.bincount(within, plain)[within], 0.0)
+    left = plain[aside == NOT_ASIDE].sum()
+    x[:, 11] = own / max(plain[aside != ASIDE].sum(), 1.0)
+    x[:, 12] = left / np.maximum(left + own, 1.0)
     if n > 1:
         x[1:, 2:4], x[:-1, 4:6] = x[:-1, 0:2], x[1:, 0:2]
     return x
@@ -214,6 +257,12 @@ def labelled_pages() -> tuple[str, ...]:
         f'<div>{s(3, 101)}</div><main><p>¶{s(16, 102)}</p><p>¶{s(2, 103)}</p></main><div><p>{s(60, 104)}</p><p>{s(8, 105)}</p></div>',
         f'<html class="no-search"><body class="single no-sidebar"><header><ul>{k(5, 106)}</ul></header><div class="wrap"><h1>¶{s(5, 107)}</h1><p>¶{s(48, 108)}</p><p>¶{s(27, 109)}</p></div><div class="comments-area"><p>{s(21, 110)}</p></div></body></html>',
         f'<body class="post-template comments-open"><div class="site-header">{s(4, 111)}</div><div class="layout has-sidebar"><p>¶{s(36, 112)}</p><p>¶{s(3, 113)}</p><p>¶{s(61, 114)}</p></div><div id="sidebar"><p>{s(24, 115)}</p></div><footer>{s(8, 116)}</footer></body>',
+        f'<nav>{k(4, 117)}</nav><article><h1>¶{s(4, 118)}</h1><div class="legal-text"><p>¶{s(44, 119)}</p><p>¶{s(2, 120)}</p><p>¶{s(31, 121)}</p></div></article><footer>{s(9, 122)}</footer>',
+        f'<div class="menu">{k(6, 123)}</div><div class="menu-box"><h2>¶{s(3, 124)}</h2><p>¶{s(26, 125)}</p><p>¶{s(8, 126)}</p></div><div class="comments"><p>{s(60, 127)}</p></div>',
+        f'<div class="widget"><p>¶{s(70, 128)}</p><p>¶{s(1, 129)}</p></div><div class="cookie-notice"><p>{s(18, 130)}</p></div>',
+        f'<article><p>¶{s(30, 131)}</p><div class="related"><p>{s(9, 132)}</p></div><p>¶{s(12, 133)}</p></article><div class="social-links">{k(3, 134)}</div>',
+        f'<div><p>¶{s(25, 135)}</p></div><div class="notice"><p>{s(40, 136)}</p></div><div class="banner"><p>{s(3, 137)}</p></div>',
+        f'<article class="post"><p>¶{s(20, 138)}</p><div class="comments"><p>{s(80, 139)}</p><p>{s(70, 140)}</p></div></article>',
     )
 
 
@@ -221,23 +270,31 @@ def varied_pages(n: int = 48, seed: int = 5) -> list[str]:
     """More labelled pages: random lengths of paragraphs in the layouts above."""
     rng = np.random.default_rng(seed)
     made = []
+    doubtful = ("promo", "related", "notice", "banner", "social-box", "popular", "legal", "search-widget")
     for i in range(n):
         at = int(rng.integers(1 << 20))
         length = lambda: int(rng.choice((1, 2, 4, 9, 18, 40, 80)))  # noqa: B023, E731
         body = "".join(f"<p>¶{_sentences(length(), at + j)}</p>" for j in range(int(rng.integers(2, 8))))
         beside = [
             f"<nav><ul>{_links(length() % 9 + 1, at + 20)}</ul></nav>",
-            f'<div class="{rng.choice(("ad", "promo", "cookie-banner", "sidebar", "comments", "related"))}"><p>{_sentences(length(), at + 21)}</p></div>',
+            f'<div class="{rng.choice(("ad", "cookie-banner", "sidebar", "comments"))}"><p>{_sentences(length(), at + 21)}</p></div>',
             f"<footer>{_sentences(length(), at + 22)}</footer>",
             f"<ul>{_links(length() % 9 + 1, at + 23)}</ul>",
             f"<form><p>{_sentences(length(), at + 24)}</p></form>",
         ]
+        if i % 3 == 0:  # what may be a wrapper's name is one here
+            body = f'<div class="{rng.choice(doubtful)}"><p>¶{_sentences(40, at + 27)}</p>{body}</div>'
+        else:
+            beside.append(f'<div class="{rng.choice(doubtful)}"><p>{_sentences(length(), at + 28)}</p></div>')
+            body = f"<p>¶{_sentences(40, at + 27)}</p>{body}"
         if i % 2:  # with an article, plain text outside it is beside it
             body = f"<article><h1>¶{_sentences(4, at + 25)}</h1>{body}</article>"
             beside.append(f"<div><p>{_sentences(length(), at + 26)}</p></div>")
+        if i % 5 == 0:  # many small boxes
+            beside += [f'<div class="{rng.choice(doubtful)}"><p>{_sentences(20, at + 30 + j)}</p></div>' for j in range(6)]
         rng.shuffle(beside)
         cut = int(rng.integers(len(beside)))
-        made.append("".join(beside[:cut][:3]) + body + "".join(beside[cut:][: int(rng.integers(3))]))
+        made.append("".join(beside[:cut][:5]) + body + "".join(beside[cut:][: int(rng.integers(6))]))
     return made
 
 
@@ -296,7 +353,7 @@ def trained_tree() -> Tree:
     xs, ys = [], []
     for page in (*labelled_pages(), *varied_pages()):
         blocks = flat_blocks(page)
-        ys += [b[0].startswith("¶") for b in blocks]
+        ys += [b.text.startswith("¶") for b in blocks]
         xs.append(block_features(blocks))
     return Tree(np.concatenate(xs), np.array(ys))
 
@@ -306,7 +363,7 @@ def main_text(page: str | None, tree: Tree) -> str:
     if not blocks:
         return ""
     good = tree.predict(block_features(blocks))
-    return " ".join(b[0] for b, g in zip(blocks, good, strict=True) if g)
+    return " ".join(b.text for b, g in zip(blocks, good, strict=True) if g)
 
 
 def extract(pages: DataFrame, *, source: str = "html", name: str = "main_text") -> DataFrame:
