@@ -29,8 +29,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from . import memory  # noqa: F401  freed arrays go back to the system
+from .textkit import set_aside
 
 # HTML's element names by what they mean for the flow of text.
 BLOCK_TAGS = frozenset(
@@ -369,14 +370,15 @@ def main_text(page: str | None, tree: Tree) -> str:
 def extract(pages: DataFrame, *, source: str = "html", name: str = "main_text") -> DataFrame:
     """pages with a column ``name`` in place of ``source``, and of any of that name.  A narrow stage."""
     tree = trained_tree()
+    moved, own, back = set_aside(pages, source, name)
     at = pages.columns.index(source)
-    rest = [i for i, c in enumerate(pages.columns) if i != at and c != name]
-    names = [*[pages.columns[i] for i in rest], name]
+    rest = [i for i in range(len(own)) if i != at]
+    names = [f"column{i}" for i in rest]
 
     def run(batches):
         for batch in batches:
             texts = pa.array([main_text(p.as_py(), tree) for p in batch.column(at)], pa.string())
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], texts], names=names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], texts], names=[*names, "made"])
 
-    plain = "".join(f"`{pages.schema[i].name}` {pages.schema[i].dataType.simpleString()}, " for i in rest)
-    return pages.mapInArrow(run, f"{plain}`{name}` string")
+    plain = "".join(f"{moved.schema[i].name} {moved.schema[i].dataType.simpleString()}, " for i in rest)
+    return moved.mapInArrow(run, f"{plain}made string").select(*back, F.col("made").alias(name))

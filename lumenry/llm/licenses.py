@@ -21,7 +21,9 @@ Results: a null or empty text has no matches.  A template is reported at every
 place it stands; overlapping windows of one template are one place, where it
 fits best (ties: the first).  A place that overlaps one that stays and is
 contained better goes.  Places are resolved in runs that no match spans, so
-the cost follows the matches.  Repeated rows get equal results.  Columns of any name pass through.
+the cost follows the matches.  Repeated rows get equal results, whole texts are read,
+and an empty table gives an empty one.  Columns of any name pass through, but
+for one of the result's name, which the result replaces.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textkit import set_aside
+
 WORDS, CONTAINED, BANDS = 5, 0.8, 24
 
 # Notices as licenses ask for them, by their public identifiers.
@@ -122,7 +126,8 @@ def scan(docs: DataFrame, *, text: str = "text", templates=TEMPLATES, name: str
     Each array is a column that the next one uses twice, so that it is computed
     once a row and not once an element.
     """
-    keep = [f"`{c}`" for c in docs.columns]
+    docs, own, keep = set_aside(docs, name)
+    text = own[text]
     table, sizes = compiled(docs.sparkSession, templates)
     marks = anchors(templates)
     kind = "array<struct<license:string,template:int,start:int,end:int,contained:double>>"

@@ -2,7 +2,9 @@
 
 The model has words and word pairs, with Dirichlet smoothing: the probability
 of w after v is (c(v w) + MU p(w)) / (c(v) + MU), and p(w) adds a half to each
-word's count and keeps one more place for unknown words.  ``order`` 3 and more
+word's count and keeps one more place for unknown words; so the words and the
+unknown one share exactly 1 after every context, but for the rounding of counts
+to ``BITS`` bits of their logarithm (counts of one are exact).  ``order`` 3 and more
 add levels of longer contexts, each smoothed by the one below in the same way;
 a document starts with as many end tokens as its contexts need.  A context's
 own count is then the smoothed one of the level below.
@@ -13,8 +15,8 @@ words that it owns; a shard adds up what training documents hold.  From it the
 shard builds its part of the trie: sorted contexts and their pointers to
 successors, both Elias-Fano coded, the successors coded as one monotone
 sequence by adding each context's start, and, beside them, joint probabilities
-quantised to ``BITS`` bits of their logarithm, smoothed by an absolute discount.
-The levels are written to one file and memory-mapped; pairs are looked up by
+quantised to ``BITS`` bits of their logarithm.  The levels are written to one
+file in memory, which has no name in any folder, and mapped; pairs are looked up by
 finding the context and then the successor inside the context's range.  Answers
 go back to the blocks: quantised probabilities of pairs, counts of words.
 
@@ -25,13 +27,14 @@ Nothing is broadcast but two numbers, N and V.
 Results: a null text is empty and is scored as its end token alone.  Training
 documents are those whose crc32 of doc_id as text, modulo 5, is not 1 (a null
 doc_id counts as the empty text).  With no training text every count is zero.
-Equal rows get equal scores, and each counts in training.
+Equal rows get equal scores, and each counts in training; ties need no rule.
+Whole texts are read, however long.  An empty table gives an empty one.  Only
+doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import zlib
 
 import numpy as np
@@ -48,8 +51,8 @@ FOLDS, HELD = 5, 1
 ORDER = 2
 #: Strength of the smoothing, in tokens.
 MU = 30.0
-#: Bits of a quantised log-probability, and the discount of pair counts.
-BITS, DISCOUNT = 8, 0.5
+#: Bits of a quantised log-probability.
+BITS = 8
 #: The end token, which also stands before the first word.
 END = np.uint64(0x1B5C8D3F77A1E209)
 #: Bits of a successor inside its context.
@@ -132,7 +135,7 @@ class Trie:
         step = np.zeros(len(first) + 1, dtype=np.uint64)
         np.cumsum(last + np.uint64(1), out=step[1:])
         joined = successor + step[nth] if len(first) else successor
-        smooth = np.log10(np.maximum(counts - DISCOUNT, 1e-3) / max(total, 1))
+        smooth = np.log10(counts / max(total, 1))
         low, high = (float(smooth.min()), float(smooth.max())) if len(smooth) else (0.0, 0.0)
         unit = (high - low) / (2**BITS - 2) or 1.0
         codes = (1 + np.round((smooth - low) / unit)).astype(np.uint8)
@@ -144,24 +147,25 @@ class Trie:
             (low, unit),
         )
 
-    def save(self, path: str) -> list:
-        """Write the levels to one file; the plan says where each array is."""
+    def save(self, file) -> list:
+        """Write the levels to an open file; the plan says where each array is."""
         plan, at = [], 0
-        with open(path, "wb") as f:
-            for level in (self.contexts, self.pointers, self.successors):
-                parts = []
-                for a in level.arrays():
-                    f.write(a.tobytes())
-                    parts.append((at, len(a)))
-                    at += len(a)
-                plan.append((level.n, level.low_bits, parts))
-            f.write(self.codes.tobytes())
-            plan.append((len(self.codes), at, self.scale))
+        for level in (self.contexts, self.pointers, self.successors):
+            parts = []
+            for a in level.arrays():
+                file.write(a.tobytes())
+                parts.append((at, len(a)))
+                at += len(a)
+            plan.append((level.n, level.low_bits, parts))
+        file.write(self.codes.tobytes())
+        file.flush()
+        plan.append((len(self.codes), at, self.scale))
         return plan
 
     @classmethod
-    def load(cls, path: str, plan: list) -> Trie:
-        data = np.memmap(path, dtype=np.uint8, mode="r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+    def load(cls, file, plan: list) -> Trie:
+        """The levels, mapped from the file."""
+        data = np.memmap(file, dtype=np.uint8, mode="r") if os.fstat(file.fileno()).st_size else np.zeros(0, np.uint8)
         levels = []
         for n, bits, ((a, k), (b, m)) in plan[:3]:
             levels.append(EliasFano(n, bits, data[a : a + k].reshape(n, -1) if n else np.zeros((0, 1), np.uint8), data[b : b + m]))
@@ -259,14 +263,14 @@ def _places(t: Tokens, shards: int):
 def _few(counts: np.ndarray) -> bytes:
     """Counts in a byte each; larger ones follow."""
     big = counts >= 255
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[big].astype(np.uint32).tobytes()
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[big].astype(np.uint64).tobytes()
 
 
 def _many(data: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
     counts = np.frombuffer(data, np.uint8, n, at).astype(np.int64)
     big = np.flatnonzero(counts == 255)
-    counts[big] = np.frombuffer(data, np.uint32, len(big), at + n)
-    return counts, at + n + 4 * len(big)
+    counts[big] = np.frombuffer(data, np.uint64, len(big), at + n)
+    return counts, at + n + 8 * len(big)
 
 
 def _pack_words(words: np.ndarray, counts: np.ndarray) -> bytes:
@@ -341,14 +345,9 @@ def _codes(data: list[bytes]) -> tuple[list[bytes], float, float]:
     first = np.flatnonzero(fresh)
     total = np.add.reduceat(c, first) if len(first) else c
     trie = Trie.build(k[first], s[first], total, 1)  # in tokens; the blocks know N
-    path = os.path.join(tempfile.mkdtemp(prefix="trie-"), "levels")
-    try:
-        trie = Trie.load(path, trie.save(path))
+    with os.fdopen(os.memfd_create("trie"), "w+b") as file:
+        trie = Trie.load(file, trie.save(file))
         code = trie.look_up(context, successor)
-    finally:
-        if os.path.exists(path):
-            os.remove(path)
-        os.rmdir(os.path.dirname(path))
     cuts = np.cumsum([0, *(len(p[0]) for p in pairs)])
     return [code[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], *trie.scale
 

@@ -14,8 +14,11 @@ points, end exclusive.  Texts are whole; no stage shuffles.
 Patterns are written so that a match never depends on backtracking through a
 group, which keeps them linear and off the stack on texts of any length.
 
-Results: a null text has no spans and stays null when redacted.  Repeated rows
-get equal results.  Columns of any name pass through.
+Results: a null or empty text has no spans and stays as it is when redacted.
+Candidates of one start are taken in the order of their ends and kinds; of spans
+that overlap, redaction names the first.  Repeated rows get equal results; an
+empty table gives an empty one.  Columns of any name pass through, but for those
+of the results' names, which the results replace.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textkit import set_aside
+
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -293,29 +298,38 @@ def _candidates(df: DataFrame, text: str) -> DataFrame:
     return df.select(*[f"`{c}`" for c in keep], base.alias("_base"), extra.alias("_extra"))
 
 
-def _free(text: str) -> Column:
-    """Extra candidates that overlap none of the base spans next to them in order of start."""
-    order = F.array_sort(F.concat(F.transform("_base", lambda c: _row(c, 0)), F.transform("_extra", lambda c: _row(c, 1))))
-    near = lambda i: F.slice(order, F.greatest(i - 15, F.lit(1)), F.lit(32))
-    free = F.transform(order, lambda c, i: F.struct(c.alias("c"), ((c["x"] == 1) & ~F.exists(near(i), lambda b: (b["x"] == 0) & (b["s"] < c["e"]) & (b["e"] > c["s"]))).alias("ok")))
-    return F.transform(F.filter(free, lambda f: f["ok"]), lambda f: F.struct(f["c"]["k"].alias("k"), f["c"]["s"].alias("s"), f["c"]["e"].alias("e"), f["c"]["v"].alias("v")))
+def _of_kind(kind: int):
+    return lambda c: c["k"] == kind
 
 
-def _row(c: Column, x: int) -> Column:
-    return F.struct(c["s"].alias("s"), F.lit(x).alias("x"), c["e"].alias("e"), c["k"].alias("k"), c["v"].alias("v"))
+def _overlapped(c: Column, kind: int) -> Column:
+    """Whether a base span of the kind overlaps candidate c.  Those do not overlap each other,
+    so it is the last one that starts before c ends, found by bisection, or none."""
+    spans = F.col(f"_base{kind}")
+    start = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+    mid = lambda a: F.shiftright(a["lo"] + a["hi"], 1)
+    early = lambda a: (a["lo"] < a["hi"]) & (F.get(spans, mid(a))["s"] < c["e"])
+    narrow = lambda a, _: F.when(early(a), F.struct((mid(a) + 1).alias("lo"), a["hi"].alias("hi"))).otherwise(
+        F.struct(a["lo"].alias("lo"), F.when(a["lo"] < a["hi"], mid(a)).otherwise(a["hi"]).alias("hi"))
+    )
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(spans) + 1)).cast("int") + 1)
+    return F.when(F.size(spans) > 0, F.aggregate(steps, start, narrow, lambda a: F.coalesce(F.get(spans, a["lo"] - 1)["e"] > c["s"], F.lit(False)))).otherwise(F.lit(False))
 
 
 def find(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """docs with _base and _added, arrays of (k: kind's number, s, e, v)."""
-    keep = docs.columns
-    df = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    docs, own, keep = set_aside(docs, "_base", "_added")
+    df = docs.withColumn("_t", F.coalesce(F.col(own[text]), F.lit("")))
     df = _candidates(df, "_t")
-    some = F.size("_extra") > 0
-    df = df.withColumn("_free", F.when(some, _free("_t")).otherwise(F.slice("_extra", 1, 0)))
+    both = (F.size("_extra") > 0) & (F.size("_base") > 0)
+    # each array is a column that the next one uses twice, so that it is computed once a row
+    df = df.withColumns({f"_base{k}": F.when(both, F.filter("_base", _of_kind(k))).otherwise(F.slice("_base", 1, 0)) for k in range(len(KINDS))})
+    free = F.filter("_extra", lambda c: ~reduce(Column.__or__, [_overlapped(c, k) for k in range(len(KINDS))]))
+    df = df.withColumn("_free", F.when(both, free).otherwise(F.col("_extra")))
     scored = F.transform("_free", lambda c: F.struct(c.alias("c"), _features(c, "_t").alias("x")))
     df = df.withColumn("_scored", F.when(F.size("_free") > 0, scored))
     chosen = F.transform(F.filter("_scored", lambda r: model.selects(r["c"]["k"], r["x"])), lambda r: r["c"])
-    return df.withColumn("_added", F.coalesce(chosen, F.slice("_extra", 1, 0))).select(*[f"`{c}`" for c in keep], "_base", "_added")
+    return df.withColumn("_added", F.coalesce(chosen, F.slice("_extra", 1, 0))).select(*keep, "_base", "_added")
 
 
 def named(spans: Column) -> Column:
@@ -343,13 +357,8 @@ def redacted(text: str = "text") -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced in text; n_chars, where there is one, follows."""
-    keep = docs.columns
-    own = {c: f"_c{i}" for i, c in enumerate(keep)}  # names of the operator's own columns may clash
-    df = docs.select(*[F.col(f"`{c}`").alias(own[c]) for c in keep])
-    df = find(df, train(docs.sparkSession), text=own["text"])
-    df = df.withColumn("_new", redacted(own["text"]))
-    out = []
-    for c in keep:
-        new = F.col("_new") if c == "text" else F.when(F.col("_new") != F.col(own["text"]), F.length("_new")).otherwise(F.col(own[c])) if c == "n_chars" else F.col(own[c])
-        out.append(new.cast(docs.schema[c].dataType).alias(c))
-    return df.select(*out)
+    moved, own, keep = set_aside(docs)
+    text = F.col(own["text"])
+    df = find(moved, train(docs.sparkSession), text=own["text"]).withColumn("_new", redacted(own["text"]))
+    new = {"text": F.col("_new"), "n_chars": F.when(F.col("_new") != text, F.length("_new")).otherwise(F.col(own.get("n_chars", own["text"])))}
+    return df.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else k for c, k in zip(docs.columns, keep, strict=True)])

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from . import memory  # noqa: F401  freed arrays go back to the system
 
@@ -174,16 +175,25 @@ def unused(taken: list[str], *wanted: str) -> list[str]:
 
 def append_struct(df, name: str, fields: str, compute):
     """df with a struct column ``name`` that ``compute(text array) -> list of
-    arrays`` derives from its text column; every other column passes through.
-    A narrow Arrow stage."""
+    arrays`` derives from its text column; every other column passes through, but for
+    one of that name.  A narrow Arrow stage."""
+    moved, own, back = set_aside(df, name)
     at = df.columns.index("text")
-    names = df.columns
 
     def run(batches):
         for batch in batches:
             parts = compute(batch.column(at))
             struct = pa.StructArray.from_arrays([a for _, a in parts], names=[n for n, _ in parts])
-            yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*own.values(), "made"])
 
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{plain}, `{name}` struct<{fields}>")
+    plain = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in moved.schema)
+    return moved.mapInArrow(run, f"{plain}made struct<{fields}>").select(*back, F.col("made").alias(name))
+
+
+def set_aside(docs, *results: str):
+    """(docs under names that no operator uses, those names by the old ones, what brings the
+    columns back).  A column of a result's name is not brought back: the result replaces it."""
+    own = {c: f"column{i}" for i, c in enumerate(docs.columns)}
+    gone = {r.lower() for r in results}
+    moved = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    return moved, own, [F.col(n).alias(c) for c, n in own.items() if c.lower() not in gone]

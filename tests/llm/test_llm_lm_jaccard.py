@@ -35,10 +35,10 @@ def test_trie_on_disk(tmp_path):
     pairs = np.unique(np.stack((rng.choice(ctx, 500), rng.integers(0, 1 << 40, 500).astype(np.uint64)), 1), axis=0)
     counts = rng.integers(1, 1000, len(pairs))
     t = L.Trie.build(pairs[:, 0], pairs[:, 1], counts, 1)
-    path = str(tmp_path / "levels")
-    t = L.Trie.load(path, t.save(path))
+    file = (tmp_path / "levels").open("w+b")
+    t = L.Trie.load(file, t.save(file))
     code = t.look_up(pairs[:, 0], pairs[:, 1])
-    assert (code > 0).all() and np.abs(10 ** t.log10(code) / (counts - 0.5) - 1).max() < 0.04
+    assert (code > 0).all() and np.abs(10 ** t.log10(code) / counts - 1).max() < 0.04
     assert not t.look_up(pairs[:, 0], pairs[:, 1] ^ np.uint64(1 << 39)).any()
 
 
@@ -53,9 +53,11 @@ def lm_rows(rows):
     n, v = sum(c.values()), len(c)
     p = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
     out = []
+    for a in [*c, "never seen"]:  # the words and the unknown one share all of it
+        assert abs(sum((b[a, w] + L.MU * p(w)) / (c[a] + L.MU) for w in [*c, "unknown"]) - 1) < 1e-9
     for (i, _), x, h in zip(rows, toks, held, strict=True):
-        joint = lambda a, w: min(b[a, w] - 0.5, c[a]) if b[a, w] else 0
-        score = sum(math.log10((joint(a, w) + L.MU * p(w)) / (c[a] + L.MU)) for a, w in zip([None, *x[:-1]], x, strict=True))
+        after = lambda a, w: (b[a, w] + L.MU * p(w)) / (c[a] + L.MU)
+        score = sum(math.log10(after(a, w)) for a, w in zip([None, *x[:-1]], x, strict=True))
         out.append((i, h, len(x), sum(c[w] > 0 for w in x), n, sum(math.log10(p(w)) for w in x), score))
     return out
 
@@ -69,16 +71,16 @@ def order_scores(rows, order):
     n, v = sum(c[1].values()), len(c[1])
 
     def context(g):
-        """Count of what comes before; ends alone count as one end, longer ones less the discount."""
+        """Count of what comes before; ends alone count as one end."""
         if not any(g):
             return c[1][None,]
-        return c[1][g] if len(g) == 1 else min(max(c[len(g)][g] - 0.5, 0), context(g[:-1]))
+        return c[1][g] if len(g) == 1 else min(c[len(g)][g], context(g[:-1]))
 
     def p(g):
         if len(g) == 1:
             return (c[1][g] + 0.5) / (n + 0.5 * (v + 1))
         seen = context(g[:-1])
-        return (min(max(c[len(g)][g] - 0.5, 0), seen) + L.MU * p(g[1:])) / (seen + L.MU)
+        return (min(c[len(g)][g], seen) + L.MU * p(g[1:])) / (seen + L.MU)
 
     return [(i, sum(math.log10(p(g)) for g in grams(x, order))) for (i, _), x in zip(rows, toks, strict=True)]
 

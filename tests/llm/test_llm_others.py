@@ -486,3 +486,72 @@ def test_license_scan_keeps_a_place_whose_twin_is_beaten(spark):
     text = "This work is licensed under the GNU General Public License, version 2." + " other words" * 30 + " Our work is licensed under the GNU General Public License, version 3"
     found = L.scan(spark.createDataFrame([(1, text)], DOCS), name="found").first().found
     assert sorted((m.license, m.start) for m in found) == [("GPL-2.0", 0), ("GPL-3.0", 72)]
+
+
+CLASH = ("_w", "_at", "_t", "_base", "_email_v", "_stats", "_found", "_found_next", "_stats_failed", "_LICENSES", "component_id", "size", "a.b", "copies")
+
+
+def test_columns_of_any_name_pass_through(spark):
+    from lumenry.llm import licenses, pii
+
+    text = "Licensed under the Apache License, Version 2.0. Mail a.b@example.org or call +1 (555) 123-4567 today."
+    df = spark.createDataFrame([(1, text), (2, None), (2, "")], DOCS).withColumns({c: F.lit(f"own {c}") for c in CLASH})
+    replaced = {"scan": {"_licenses"}, "find": {"_base"}, "verdicts": {"_stats", "_stats_failed"}, "decon": {"_found"}}
+    made = {
+        "scan": licenses.scan(df),
+        "find": pii.find(df, pii.train(spark)),
+        "redact": pii.redact(df),
+        "verdicts": Q.verdicts(df, []),
+        "decon": D.scan(df, spark.createDataFrame([("i", text)], "item_id string, text string")),
+    }
+    for name, out in made.items():
+        rows = out.collect()
+        assert len(rows) == 3, name
+        for c in CLASH:
+            if c.lower() not in replaced.get(name, ()):
+                assert all(r[c] == f"own {c}" for r in rows), (name, c)
+    first = {name: next(r for r in out.collect() if r.doc_id == 1) for name, out in made.items()}
+    assert first["redact"].text == "Licensed under the Apache License, Version 2.0. Mail [EMAIL] or call [PHONE] today."
+    assert [m.license for m in first["scan"]["_licenses"]] == ["Apache-2.0"]
+    assert [c.v for c in first["find"]["_base"]] == ["a.b@example.org", "+1 (555) 123-4567"]
+    assert first["decon"]["_found"]["items"] == ["i"]
+
+
+def test_free_candidates_equal_brute_force(spark):
+    """Candidates that no base span overlaps, however many spans lie between."""
+    from lumenry.llm import pii
+
+    rnd = random.Random(11)
+    parts = ["a.b@ex.org", "x at y dot org", "4111.1111.1111.1111", "(555) 123-4567", "0044 20 7946 0958", "+44 20 7946 0958", "10.0.0.1", "4111 1111 1111 1111", "1.2.3.4@ab.cd", "word", "mail"]
+    rows = [(i, " ".join(rnd.choice(parts) for _ in range(rnd.choice([3, 20, 200])))) for i in range(60)]
+    base = pii._candidates(spark.createDataFrame(rows, DOCS), "text")
+    every = pii.Model(bias=50.0)  # selects all that it is asked about
+    every.thresholds = dict.fromkeys(range(len(pii.KINDS)), 0.0)
+    want = {r.doc_id: sorted((x.s, x.e) for x in r["_extra"] if not any(b.s < x.e and b.e > x.s for b in r["_base"])) for r in base.collect()}
+    got = {r.doc_id: sorted((x.s, x.e) for x in r["_added"]) for r in pii.find(spark.createDataFrame(rows, DOCS), every).collect()}
+    assert got == want and sum(map(len, want.values())) > 200
+
+
+def test_boosted_trees_as_case_expressions_equal_the_model(spark):
+    from lumenry.llm import pii
+
+    model = pii.train(spark)
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, 4, 400), *(rng.integers(0, 30, 400) for _ in pii.FEATURES[1:])]).astype(float)
+    df = spark.createDataFrame([(i, tuple(map(float, r))) for i, r in enumerate(x)], "i long, x struct<" + ", ".join(f"{f}: double" for f in pii.FEATURES) + ">")
+    got = df.select("i", model.column(F.col("x")).alias("p"), model.selects(F.col("x.kind").cast("int"), F.col("x")).alias("s")).orderBy("i").collect()
+    want = model.probability(x)
+    assert np.allclose([r.p for r in got], want)
+    assert [r.s for r in got] == [bool(p >= model.thresholds[int(k)]) for p, k in zip(want, x[:, 0], strict=True)]
+
+
+def test_kept_equals_the_rules_in_numpy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rules = Q.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = Q.verdicts(docs, rules).orderBy("doc_id").collect()
+    stats = {n: np.array([r["_stats"][n] for r in rows], dtype=np.int64) for n in Q.STATS}
+    table = Q.measure_table(stats)
+    bad = (stats["n_words"] < 50) | (100 * stats["n_repeat_words"] > 50 * stats["n_words"])
+    for rule in rules:
+        bad |= Q._covers(rule, table)
+    assert [r["_stats_kept"] for r in rows] == (~bad).tolist()
