@@ -43,7 +43,9 @@ class Corpus:
         symbols = made["symbols"].withColumn("symbol_id", F.xxhash64("path", "start", "name", "kind", "qualname"))
         edges = made["edges"].withColumn("edge_id", F.xxhash64("path", "line", F.coalesce("src_name", F.lit("")), "dst_name", "kind"))
         edges = graph.resolve(graph.source_ids(graph.dedup_edges(edges), symbols), symbols)
-        self.store.write({"files": files, "symbols": graph.dedup_symbols(symbols), "edges": edges, "trigrams": made["trigrams"], "postings": made["postings"]})
+        # sorted, so that a lookup reads the row groups that may hold its keys
+        lookup = lambda df, key: df.repartitionByRange(key).sortWithinPartitions(key)
+        self.store.write({"files": files, "symbols": graph.dedup_symbols(symbols), "edges": edges, "trigrams": lookup(made["trigrams"], "tri"), "postings": lookup(made["postings"], "term")})
         counts = {t: self.table(t).count() for t in ("files", "symbols", "edges")}
         return counts | {"changed": new.select("path").count() if old is not None else counts["files"]}
 

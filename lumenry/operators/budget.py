@@ -96,3 +96,9 @@ def equal_share(df: DataFrame, budget: int) -> Column:
     """A definition's share: all of the budget if they fit together, else an equal part."""
     w = Window.partitionBy()
     return F.when(F.sum("cost").over(w) > budget, F.floor(F.lit(budget) / F.count("*").over(w))).otherwise(F.lit(budget)).cast("long")
+
+
+def source_tokens(files: DataFrame, by: list[str]) -> DataFrame:
+    """Estimated tokens of whole files, each path once, in each group."""
+    sized = files.select("path", *by, F.ceil(F.length("content") / 4).cast("long").alias("_t"))
+    return sized.dropDuplicates(["path"]).groupBy(*by).agg(F.sum("_t").alias("tokens"))

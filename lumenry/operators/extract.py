@@ -13,7 +13,7 @@ from ..functions import text as T
 
 SNIPPET_BYTES = 2000
 # Fixed value: words that look like calls but are not.
-KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "function", "match", "foreach", "echo", "print", "elif")
+KEYWORDS = ("if", "for", "while", "switch", "catch", "function", "func", "fn", "match", "loop", "isset", "empty")
 
 SYMBOLS = "file_id long, path string, name string, qualname string, kind string, start int, end int, sig string, snippet string, snippet_truncated boolean"
 EDGES = "file_id long, path string, src_name string, dst_name string, kind string, line int, source string, confidence double"
@@ -158,36 +158,38 @@ def edges(files: DataFrame) -> DataFrame:
 
 # ---- routes -----------------------------------------------------------------------------
 
-#: (family, pattern with a verb and a route group or a route alone, verb group, route group)
+# How frameworks declare routes; group of the verb (0: any verb) and of the route.
 ROUTES = (
-    ("generic", r"\.(get|post|put|patch|delete|options|head)\(\s*[\"'](/[^\"']*)[\"']", 1, 2),
-    ("static", r"Route::(get|post|put|patch|delete|any)\(\s*[\"']([^\"']+)[\"']", 1, 2),
-    ("decorator", r"@(?:Get|Post|Put|Patch|Delete|Request)(Mapping)?\(\s*[\"']([^\"']*)[\"']", 0, 2),
-    ("path", r"\b(?:re_)?(path)\(\s*r?[\"']([^\"']*)[\"']", 0, 2),
-    ("handle", r"\.(Handle|HandleFunc)\(\s*[\"']([^\"']+)[\"']", 0, 2),
-    ("axum", r"\.(route)\(\s*[\"']([^\"']+)[\"']", 0, 2),
+    (r"(?i)(?:@\w+\.|\.|->)(get|post|put|delete|patch|options|head)\s*\(\s*['\"]([^'\"]+)", 1, 2),
+    (r"(?i)Route::(get|post|put|delete|patch|options|any)\s*\(\s*['\"]([^'\"]+)", 1, 2),
+    (r"(?i)(?:@|#\[(?!head|options))(get|post|put|delete|patch|options|head)\s*\(\s*['\"]([^'\"]+)", 1, 2),
+    (r"(?i)(?:path|re_path)\s*\(\s*['\"]([^'\"]+)", 0, 1),
+    (r"(?i)(?:Handle|HandleFunc)\s*\(\s*['\"]([^'\"]+)", 0, 1),
+    (r"(?i)\.route\s*\(\s*['\"]([^'\"]+)['\"]\s*,\s*(get|post|put|delete|patch)\s*\(", 2, 1),
+    (r"(?is)#\[Route\s*\(\s*['\"]([^'\"]+).{0,200}?methods\s*:\s*\[\s*['\"]([A-Z]+)", 2, 1),
 )
-#: Attributes may run over lines.
-ATTRIBUTE = r"(?is)#\[Route\(.{0,200}?[\"']([^\"']+)[\"']"
-NEXT_EXPORT = r"export\s+(?:async\s+)?function\s+(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\b"
+NEXT_EXPORT = r"(?m)^\s*export\s+(?:async\s+)?function\s+(GET|POST|PUT|DELETE|PATCH|OPTIONS|HEAD)\b"
+NEXT_FILE = r"(^|/)app/(.*/)?route\.(ts|js|tsx|jsx)$"
 
 
-def line_routes(files: DataFrame) -> DataFrame:
-    """(path, line, family, method, route) of the families that stay in a line."""
-    rows = files.select("path", F.posexplode(T.lines(F.col("content"))).alias("n", "text"))
-    made = None
-    for family, pattern, verb, route in ROUTES:
-        method = F.upper(F.regexp_extract("text", pattern, verb)) if verb else F.lit("ANY")
-        one = rows.where(F.col("text").rlike(pattern)).select("path", (F.col("n") + 1).alias("line"), F.lit(family).alias("family"), method.alias("method"), F.regexp_extract("text", pattern, route).alias("route"))
-        made = one if made is None else made.unionByName(one)
-    return made
+def _found(pattern: str, method, route) -> Column:
+    """(line, method, route) of every match in content; a match begins after the texts between
+    the matches and the matches before it, whose line ends are counted."""
+    matches, between = F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), F.split("content", pattern, -1)
+    ends = lambda texts, n: F.aggregate(F.slice(texts, F.lit(1), n), F.lit(0), lambda a, t: a + F.regexp_count(t, F.lit("\n")))
+    row = lambda m, i: F.struct((1 + ends(between, i + 1) + ends(matches, i)).alias("line"), method(m).alias("method"), route(m).alias("route"))
+    return F.when(F.col("content").rlike(pattern), F.transform(matches, row))
 
 
-def attribute_routes(files: DataFrame) -> DataFrame:
-    """Routes of attributes, whose line is counted from the text before."""
-    some = files.where(F.col("content").rlike(ATTRIBUTE))
-    first = F.element_at(F.split("content", r"(?i)#\[Route\(", 2), 1)
-    return some.select("path", T.line_of(F.col("content"), F.length(first)).alias("line"), F.lit("attribute").alias("family"), F.lit("ANY").alias("method"), F.regexp_extract("content", ATTRIBUTE, 1).alias("route"))
+def every_route(files: DataFrame) -> DataFrame:
+    """(path, line, method, route) of the sources among files, once each, from one pass over their texts."""
+    part = lambda pattern, g: lambda m: F.regexp_extract(m, pattern, g)
+    verb = lambda pattern, g: (lambda m: F.upper(part(pattern, g)(m))) if g else (lambda m: F.lit("ANY"))
+    found = [_found(p, verb(p, v), part(p, r)) for p, v, r in ROUTES]
+    found.append(F.when(F.col("path").rlike(NEXT_FILE), _found(NEXT_EXPORT, verb(NEXT_EXPORT, 1), lambda m: next_path(F.col("path")))))
+    none = F.array().cast("array<struct<line:int,method:string,route:string>>")
+    every = F.concat(*[F.coalesce(f, none) for f in found])
+    return files.where(T.language(F.col("path")).isNotNull()).select("path", F.inline(every)).dropDuplicates(["path", "line", "method", "route"])
 
 
 def next_path(path: Column) -> Column:
@@ -198,16 +200,9 @@ def next_path(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(named, "/"))
 
 
-def next_routes(files: DataFrame) -> DataFrame:
-    some = files.where(F.col("path").rlike(r"(^|/)app/(.*/)?route\.(ts|js|tsx|jsx)$"))
-    rows = some.select("path", F.posexplode(T.lines(F.col("content"))).alias("n", "text")).where(F.col("text").rlike(NEXT_EXPORT))
-    return rows.select("path", (F.col("n") + 1).alias("line"), F.lit("next").alias("family"), F.regexp_extract("text", NEXT_EXPORT, 1).alias("method"), next_path(F.col("path")).alias("route"))
-
-
 def routes(files: DataFrame, top: int = 50) -> DataFrame:
-    """All routes once each, in order of path and line."""
-    every = line_routes(files).unionByName(attribute_routes(files)).unionByName(next_routes(files))
-    return every.dropDuplicates(["path", "line", "method", "route"]).orderBy("path", "line", "method", "route").limit(top)
+    """Routes in order of path and line, the first ``top``."""
+    return every_route(files).orderBy("path", "line", "method", "route").limit(top)
 
 
 def json_usage(payload: Column, keys: tuple[str, ...]) -> Column:

@@ -48,18 +48,25 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.countDistinct("doc_id").alias("df"), F.sum("tf").alias("cf"))
 
 
-def occurrences(toks: Column, phrase: list[str]) -> Column:
-    """How often a phrase stands in an array of tokens."""
-    if len(phrase) == 1:
-        return F.size(F.filter(toks, lambda t: t == phrase[0]))
+def _folded(text: Column, ascii_only: bool) -> tuple[Column, str]:
+    """The text as the tokeniser reads it, and the class of a token's characters."""
+    return (F.lower(text), "a-z0-9") if ascii_only else (F.translate(F.lower(text), _MARKED, _PLAIN), r"\p{L}\p{N}")
 
-    def begins(t: Column, i: Column) -> Column:
-        test = t == phrase[0]
-        for k, word in enumerate(phrase[1:], 1):
-            test = test & (F.coalesce(F.get(toks, i + k), F.lit("")) == word)
-        return test
 
-    return F.size(F.filter(toks, begins))
+def count_tokens(text: Column, ascii_only: bool = False) -> Column:
+    read, inside = _folded(text, ascii_only)
+    return F.coalesce(F.regexp_count(read, F.lit(f"[{inside}]+")), F.lit(0))
+
+
+def occurrences(text: Column, phrase: list[str], ascii_only: bool = False) -> Column:
+    """How often a phrase stands in a text: its first word where the others follow, so
+    that the next occurrence may begin inside this one.  No array of tokens is made."""
+    read, inside = _folded(text, ascii_only)
+    plain = (lambda w: w) if ascii_only else (lambda w: w.translate(str.maketrans(_MARKED, _PLAIN)))
+    first, *rest = [re.escape(plain(w)) for w in phrase]
+    follow = "".join(f"[^{inside}]+{w}" for w in rest)
+    pattern = f"(?<![{inside}]){first}(?={follow}(?![{inside}]))"
+    return F.when(F.contains(read, F.lit(plain(phrase[0]))), F.regexp_count(read, F.lit(pattern))).otherwise(0)
 
 
 def bm25(files: DataFrame, fields: dict[str, tuple[Column, float]], query: str, *, ascii_only: bool = False) -> DataFrame:
@@ -72,11 +79,9 @@ def bm25(files: DataFrame, fields: dict[str, tuple[Column, float]], query: str,
     if not phrases:
         return files.where(F.lit(False)).withColumn("rank", F.lit(0.0))
     names = list(fields)
-    toks = files.withColumns({f"_t_{n}": tokens(c, ascii_only) for n, (c, _) in fields.items()})
-    counted = toks.withColumn("_len", sum((F.size(f"_t_{n}") for n in names), F.lit(0)))
+    counted = files.withColumn("_len", sum((count_tokens(fields[n][0], ascii_only) for n in names), F.lit(0)))
     for i, p in enumerate(phrases):
-        counted = counted.withColumn(f"_f{i}", sum((F.lit(fields[n][1]) * occurrences(F.col(f"_t_{n}"), p) for n in names), F.lit(0.0)))
-    counted = counted.drop(*[f"_t_{n}" for n in names])
+        counted = counted.withColumn(f"_f{i}", sum((F.lit(fields[n][1]) * F.coalesce(occurrences(fields[n][0], p, ascii_only), F.lit(0)) for n in names), F.lit(0.0)))
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(phrases))])
     some = counted.where(" or ".join(f"_f{i} > 0" for i in range(len(phrases))))
     joined = some.join(F.broadcast(stats))  # one row

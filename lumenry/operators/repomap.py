@@ -33,6 +33,11 @@ def file_links(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return edges.join(s, F.col("dst_symbol_id") == F.col("_s")).select(F.col("file_id").alias("src"), "dst").where("src <> dst").distinct()
 
 
+def indegree(links: DataFrame) -> DataFrame:
+    """How many other files lead to each."""
+    return links.groupBy("dst").agg(F.count("*").alias("indegree"))
+
+
 def stack(files: DataFrame) -> DataFrame:
     """Labels of manifests and of what they hold, to a depth of three."""
     near = files.where(F.size(F.split("path", "/")) <= 4)

@@ -15,7 +15,7 @@ from .registry import query
 SYMBOLS = "sy AS (SELECT s_suppkey AS symbol_id, s_nationkey::BIGINT AS file_id, 'n' || (s_suppkey % 97) AS name, s_suppkey AS st FROM supplier)"
 EDGES = (
     "ed AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS edge_id, l_orderkey, l_suppkey, l_linenumber, "
-    "(l_partkey % 25) AS file_id, 'n' || (l_suppkey % 97) AS dst_name, 'n' || (l_partkey % 97) AS src_name FROM (SELECT * FROM lineitem WHERE l_orderkey % 7 = 0))"
+    "(l_partkey % 25) AS file_id, 'n' || (l_suppkey % 97) AS dst_name, 'n' || (l_partkey % 97) AS src_name FROM lineitem)"
 )
 RESOLVED = (
     "lo AS (SELECT file_id AS f, name AS n, min(symbol_id) AS id FROM sy GROUP BY 1, 2 HAVING count(*) = 1), "
@@ -35,7 +35,7 @@ def _symbols(spark, sf):
 
 
 def _edges(spark, sf):
-    e = corpus.table(spark, sf, "lineitem").where("l_orderkey % 7 = 0")
+    e = corpus.table(spark, sf, "lineitem")
     n = lambda c: F.concat(F.lit("n"), (F.col(c) % 97).cast("string"))
     return e.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("edge_id"),
@@ -54,7 +54,7 @@ def edge_resolve_unique(spark, sf):
     return _resolved(spark, sf).select("l_orderkey", "l_linenumber", "l_suppkey", "dst_name", "dst_symbol_id", "src_symbol_id")
 
 
-@query("SELECT DISTINCT l_partkey % 25 AS file_id, l_linenumber AS line, 'n' || (l_partkey % 97) AS src_name, 'n' || (l_suppkey % 97) AS dst_name FROM lineitem WHERE l_orderkey % 7 = 0")
+@query("SELECT DISTINCT l_partkey % 25 AS file_id, l_linenumber AS line, 'n' || (l_partkey % 97) AS src_name, 'n' || (l_suppkey % 97) AS dst_name FROM lineitem")
 def edge_dedup(spark, sf):
     return graph.dedup_edges(_edges(spark, sf)).select("file_id", "line", "src_name", "dst_name")
 
@@ -87,13 +87,13 @@ def graph_callees(spark, sf):
     return out.select("query", "symbol_id", "name", "def_file")
 
 
-TRADE = "li AS (SELECT DISTINCT s.s_nationkey AS src, c.c_nationkey AS dst FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = l.l_suppkey WHERE l.l_orderkey % 61 = 0 AND s.s_nationkey <> c.c_nationkey)"
+TRADE = "li AS (SELECT DISTINCT s.s_nationkey AS src, c.c_nationkey AS dst FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = l.l_suppkey WHERE s.s_nationkey <> c.c_nationkey)"
 
 
 def _trade(spark, sf):
-    """Nation to nation, from some of the line items."""
+    """Nation to nation, from all line items."""
     t = lambda n: corpus.table(spark, sf, n)
-    l = t("lineitem").where("l_orderkey % 61 = 0").select("l_orderkey", "l_suppkey")
+    l = t("lineitem").select("l_orderkey", "l_suppkey")
     o, c, s = t("orders").select("o_orderkey", "o_custkey"), t("customer").select("c_custkey", "c_nationkey"), t("supplier").select("s_suppkey", "s_nationkey")
     j = l.join(o, l.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     return j.select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).where("src <> dst").distinct()
@@ -105,9 +105,9 @@ def graph_bfs_depth(spark, sf):
     return graph.reach(_trade(spark, sf), start, 2)
 
 
-@query(f"WITH {TRADE} SELECT dst, count(*) AS indegree FROM li GROUP BY dst")
+@query(f"WITH {SYMBOLS}, {EDGES}, {RESOLVED}, fl AS (SELECT DISTINCT re.file_id AS src, sy.file_id AS dst FROM re JOIN sy ON sy.symbol_id = re.dst_symbol_id WHERE re.file_id <> sy.file_id) SELECT dst, count(*) AS indegree FROM fl GROUP BY dst")
 def file_link_indegree(spark, sf):
-    return _trade(spark, sf).groupBy("dst").agg(F.count("*").alias("indegree"))
+    return repomap.indegree(repomap.file_links(_resolved(spark, sf), _symbols(spark, sf)))
 
 
 RANKS = (
@@ -154,9 +154,9 @@ def entrypoints(spark, sf):
     return d.select("doc_id", path.alias("path")).where(T.is_entrypoint(F.col("path")))
 
 
-@query("SELECT o_orderstatus AS lang, count(*) AS n FROM orders GROUP BY 1")
+@query("SELECT 'files' AS name, count(*) AS n FROM documents UNION ALL SELECT 'symbols', count(*) FROM supplier UNION ALL SELECT 'edges', count(*) FROM lineitem")
 def row_counts(spark, sf):
-    return corpus.table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("lang")).agg(F.count("*").alias("n"))
+    return gen.row_counts({"files": corpus.documents(spark, sf), "symbols": _symbols(spark, sf), "edges": _edges(spark, sf)})
 
 
 # ---- maintenance ---------------------------------------------------------------------------
@@ -217,9 +217,9 @@ def delete_cascade(spark, sf):
     return gen.delete_cascade(gone, {"lines": lines})["lines"].select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT o_orderstatus AS status, sha256(array_to_string(list(('o' || o_orderkey) || '|' || md5(o_orderpriority) ORDER BY 'o' || o_orderkey), chr(10))) AS digest, count(*) AS files FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1")
+@query("SELECT o_orderstatus AS status, sha256(array_to_string(list(('o' || o_orderkey) || '|' || md5(o_orderpriority) ORDER BY 'o' || o_orderkey), chr(10))) AS digest, count(*) AS files FROM orders GROUP BY 1")
 def repo_state_digest(spark, sf):
-    o = corpus.table(spark, sf, "orders").where("o_orderkey % 5 = 0")
+    o = corpus.table(spark, sf, "orders")
     f = o.select(F.col("o_orderstatus").alias("status"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"), F.md5("o_orderpriority").alias("content_hash"))
     return gen.state_digest(f, ["status"])
 
@@ -237,11 +237,11 @@ def lsp_symbol_selection(spark, sf):
 
 
 @query(
-    "WITH e AS (SELECT l_orderkey AS file_id, l_linenumber AS line, l_suppkey AS dst, CASE WHEN l_partkey % 2 = 0 THEN 'lsp' ELSE 'parser' END AS source FROM lineitem WHERE l_orderkey < 4000) "
+    "WITH e AS (SELECT l_orderkey AS file_id, l_linenumber AS line, l_suppkey AS dst, CASE WHEN l_partkey % 2 = 0 THEN 'lsp' ELSE 'parser' END AS source FROM lineitem) "
     "SELECT file_id, source, count(*) AS n FROM (SELECT * FROM e WHERE source <> 'lsp' OR file_id % 3 <> 0 UNION ALL SELECT DISTINCT file_id, line, dst, 'lsp' FROM e WHERE file_id % 3 = 0 AND source = 'parser') GROUP BY 1, 2"
 )
 def lsp_reference_store(spark, sf):
-    e = corpus.table(spark, sf, "lineitem").where("l_orderkey < 4000").select(
+    e = corpus.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("dst_symbol_id"), F.col("l_suppkey").cast("string").alias("dst_name"),
         F.lit(1).alias("src_symbol_id"), F.when(F.col("l_partkey") % 2 == 0, "lsp").otherwise("parser").alias("source"), F.lit("call").alias("kind"), F.lit(0.65).alias("confidence"),
     )
@@ -251,26 +251,45 @@ def lsp_reference_store(spark, sf):
 
 
 @query(
-    f"WITH {SYMBOLS}, d AS (SELECT name AS query, symbol_id FROM sy WHERE symbol_id % 97 < 3), h AS (SELECT name AS query, max(symbol_id) AS symbol_id FROM sy WHERE symbol_id % 97 < 5 GROUP BY name) "
+    f"WITH {SYMBOLS}, d AS (SELECT name AS query, symbol_id FROM sy), h AS (SELECT name AS query, max(symbol_id) AS symbol_id FROM sy GROUP BY name) "
     "SELECT query, symbol_id, 0 AS stage FROM d WHERE query IN (SELECT query FROM d GROUP BY query HAVING count(*) > 1) UNION ALL SELECT query, symbol_id, 1 FROM h"
 )
 def homonym_definitions(spark, sf):
     s = _symbols(spark, sf).select(F.col("name").alias("query"), "symbol_id")
-    hits = s.where("symbol_id % 97 < 5").groupBy("query").agg(F.max("symbol_id").alias("symbol_id"))
-    return graph.with_homonyms(hits, s.where("symbol_id % 97 < 3"))
+    hits = s.groupBy("query").agg(F.max("symbol_id").alias("symbol_id"))
+    return graph.with_homonyms(hits, s)
 
 
 @query(
-    "WITH h AS (SELECT l_shipdate::DATE::VARCHAR AS q, 'p' || (l_partkey % 50) AS path, l_linenumber % 4 AS prio, l_discount AS score FROM lineitem WHERE l_orderkey % 31 = 0), "
+    "WITH h AS (SELECT l_shipdate::DATE::VARCHAR AS q, 'p' || (l_partkey % 50) AS path, l_linenumber % 4 AS prio, l_discount AS score FROM lineitem), "
     "b AS (SELECT q, path, min(ROW(prio, -round(score * 1e6), path)) AS best FROM h GROUP BY 1, 2) SELECT q, path, CAST(row_number() OVER (PARTITION BY q ORDER BY best) AS INT) AS place FROM b"
 )
 def file_best_rank(spark, sf):
-    h = corpus.table(spark, sf, "lineitem").where("l_orderkey % 31 = 0")
+    h = corpus.table(spark, sf, "lineitem")
     h = h.select(F.col("l_shipdate").cast("date").cast("string").alias("q"), F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")).alias("path"), (F.col("l_linenumber") % 4).alias("prio"), F.col("l_discount").alias("score"))
     return graph.file_ranks(h, ["q"])
 
 
 @query(f"WITH {OLD}, {NEW} SELECT path FROM (SELECT path FROM ol EXCEPT SELECT path FROM ne) UNION SELECT path FROM (SELECT path FROM ne EXCEPT SELECT path FROM ol)")
 def path_set_difference(spark, sf):
-    old, new = (df.select("path") for df in _states(spark, sf))
-    return old.subtract(new).union(new.subtract(old)).distinct()
+    return gen.path_differences(*_states(spark, sf))
+
+
+@query(f"WITH {SYMBOLS} SELECT symbol_id, name, file_id FROM (SELECT *, row_number() OVER (PARTITION BY file_id, name ORDER BY CASE symbol_id % 5 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE 1 END DESC, symbol_id) AS k FROM sy) WHERE k = 1")
+def symbol_dedup_priority(spark, sf):
+    """Suppliers of a nation and name found at one place; the kind of the highest priority stays."""
+    kinds = F.array(*[F.lit(k) for k in ("method", "class", "function", "type", "variable")])
+    s = _symbols(spark, sf).withColumns({"kind": F.get(kinds, (F.col("symbol_id") % 5).cast("int")), "start": F.lit(1)})
+    return graph.dedup_symbols(s).select("symbol_id", "name", "file_id")
+
+
+@query(
+    f"WITH {SYMBOLS}, {EDGES}, {RESOLVED}, h AS (SELECT DISTINCT edge_id FROM (SELECT re.edge_id FROM re JOIN sy q ON re.dst_symbol_id = q.symbol_id AND q.name = 'n5' UNION SELECT edge_id FROM re WHERE dst_name = 'n5')), "
+    "c AS (SELECT re.file_id, re.l_linenumber::INT AS line, coalesce(sy.st, re.l_linenumber) AS st, coalesce(sy.name, re.dst_name) AS symbol FROM h JOIN re ON re.edge_id = h.edge_id LEFT JOIN sy ON sy.symbol_id = re.src_symbol_id) "
+    "SELECT file_id, st, symbol, count(*) AS places FROM (SELECT DISTINCT file_id, st, symbol, line FROM c) GROUP BY ALL"
+)
+def graph_callers_distinct(spark, sf):
+    """Callers of one name, each place once: the graph's hits before the budget."""
+    out = graph.callers(_resolved(spark, sf), _symbols(spark, sf), _names(spark, sf, ["n5"]))
+    once = out.select("file_id", F.col("line").cast("int").alias("line"), F.col("start").alias("st"), "symbol").distinct()
+    return once.groupBy("file_id", "st", "symbol").agg(F.count("*").alias("places"))

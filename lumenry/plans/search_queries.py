@@ -103,8 +103,7 @@ def token_estimate(spark, sf):
 
 @query("WITH" + FILES + " SELECT lang, CAST(sum(CAST(ceil(length(content) / 4.0) AS BIGINT)) AS BIGINT) AS tokens FROM (SELECT DISTINCT path, lang, content FROM f) GROUP BY lang")
 def source_tokens(spark, sf):
-    d = corpus.documents(spark, sf).select("path", "lang", F.ceil(F.length("content") / 4).cast("long").alias("t"))
-    return d.dropDuplicates(["path"]).groupBy("lang").agg(F.sum("t").alias("tokens"))
+    return budget.source_tokens(corpus.documents(spark, sf), ["lang"])
 
 
 @query("SELECT doc_id, length(trim(string_split(text, chr(10))[1])) AS sig_chars, left(trim(string_split(text, chr(10))[1]), 300) AS sig FROM documents")
@@ -133,10 +132,10 @@ def expand_file(spark, sf):
 
 @query(
     "SELECT tri, count(*) AS files FROM (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substring(text, i, 3))) AS tri FROM documents)"
-    " WHERE length(tri) = 3 GROUP BY tri HAVING count(*) >= 3"
+    " WHERE length(tri) = 3 GROUP BY tri"
 )
 def trigram_postings(spark, sf):
-    return trigram.index(corpus.documents(spark, sf)).groupBy("tri").agg(F.count("*").alias("files")).where("files >= 3")
+    return trigram.index(corpus.documents(spark, sf)).groupBy("tri").agg(F.count("*").alias("files"))
 
 
 @query("WITH" + FILES + " SELECT file_id FROM f WHERE " + " AND ".join(f"contains(content, '{LITERAL[i : i + 3]}')" for i in range(len(LITERAL) - 2)))
@@ -185,11 +184,11 @@ def _bm25_sql(fields: list[tuple[str, float]], terms: list[str]) -> str:
 
 @query(
     "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) "
-    "SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term HAVING count(DISTINCT doc_id) >= 3"
+    "SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term"
 )
 def fts_doc_freq(spark, sf):
     index = fts.postings(corpus.documents(spark, sf), {"content": F.col("content")}, ascii_only=True)
-    return fts.document_frequency(index).where("df >= 3")
+    return fts.document_frequency(index)
 
 
 @query(_bm25_sql([("content", 1.0)], QUERY.split()) + "SELECT file_id, round(rank, 4) + 0.0 AS rank FROM r")
@@ -221,7 +220,7 @@ def bm25_phrase(spark, sf):
 
 @query(
     _bm25_sql([("content", 1.0)], QUERY.split())
-    + ", x AS (SELECT 0 AS stage, path, 1.0::DOUBLE - 0.12 * is_test::INT - 0.25 * is_vendor::INT AS score, is_test, is_vendor FROM f WHERE lang = 'es' AND file_id < 40 "
+    + ", x AS (SELECT 0 AS stage, path, 1.0::DOUBLE - 0.12 * is_test::INT - 0.25 * is_vendor::INT AS score, is_test, is_vendor FROM f WHERE contains(content, 'License, Version') "
     "UNION ALL SELECT 1, path, 0.55 - 0.47 / (1 + abs(rank)), is_test, is_vendor FROM r), "
     "y AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY stage, score DESC) AS k FROM x) "
     "SELECT stage, path, round(score, 4) AS score FROM y WHERE k = 1 ORDER BY stage, y.score DESC, is_test, is_vendor, path LIMIT 30"
@@ -229,7 +228,7 @@ def bm25_phrase(spark, sf):
 def ranked_union_topk(spark, sf):
     d = corpus.documents(spark, sf)
     cols = ["path", "score", "is_test", "is_vendor"]
-    exact = d.where("lang = 'es' and file_id < 40").withColumn("score", fts.exact_score(F.col("is_test"), F.col("is_vendor"))).select(*cols, F.lit(1).alias("start"))
+    exact = d.where(F.contains("content", F.lit("License, Version"))).withColumn("score", fts.exact_score(F.col("is_test"), F.col("is_vendor"))).select(*cols, F.lit(1).alias("start"))
     text = fts.bm25(d, {"content": (F.col("content"), 1.0)}, QUERY, ascii_only=True).withColumn("score", fts.excerpt_score(F.col("rank"))).select(*cols, F.lit(1).alias("start"))
     return fts.ranked([exact, text], ["path"], 30).select("stage", "path", F.round("score", 4).alias("score"))
 
@@ -261,16 +260,6 @@ def hit_dedup_first(spark, sf):
     return spans.first_of(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
-@query(
-    "WITH v AS (SELECT conv_id, role, turn, length(text) AS n FROM conversations), r AS (SELECT *, CASE role WHEN 'assistant' THEN 3 WHEN 'user' THEN 2 ELSE 1 END AS prio FROM v) "
-    "SELECT conv_id, n, role, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, n ORDER BY prio DESC, turn) AS k FROM r) WHERE k = 1"
-)
-def symbol_dedup_priority(spark, sf):
-    c = corpus.table(spark, sf, "conversations").select("conv_id", F.length("text").cast("long").alias("n"), "role", "turn")
-    prio = F.when(F.col("role") == "assistant", 3).when(F.col("role") == "user", 2).otherwise(1)
-    return spans.first_of(c, ["conv_id", "n"], [prio.desc(), "turn"])
-
-
 @query(
     "WITH p AS (SELECT DISTINCT conv_id, turn FROM conversations), s AS (SELECT c.conv_id, c.role || '-' || c.turn AS name, c.turn AS st, c.turn + (length(c.text) % 4) AS en FROM conversations c) "
     "SELECT conv_id, turn, name, st, en FROM (SELECT p.conv_id, p.turn, s.name, s.st, s.en, row_number() OVER (PARTITION BY p.conv_id, p.turn ORDER BY s.en - s.st, s.st DESC, s.name) AS k FROM p JOIN s ON s.conv_id = p.conv_id AND s.st <= p.turn AND s.en >= p.turn) WHERE k = 1"
@@ -293,22 +282,42 @@ def span_overlap_anti(spark, sf):
 
 
 @query(
-    "WITH q AS (SELECT doc_id, 'see ' || lang || '/' || source || '/' || doc_id || '.txt:' || (doc_id % 7 + 1) || '-' || (doc_id % 7 + 3) || CASE WHEN doc_id % 3 = 0 THEN ' and gone.txt:1' ELSE '' END AS a, doc_id % 7 AS k FROM documents WHERE doc_id % 2 = 0) "
+    "WITH q AS (SELECT doc_id, 'see ' || lang || '/' || source || '/' || doc_id || '.txt:' || (doc_id % 7 + 1) || '-' || (doc_id % 7 + 3) || CASE WHEN doc_id % 3 = 0 THEN ' and gone.txt:1' ELSE '' END AS a, doc_id % 7 AS k FROM documents) "
     "SELECT doc_id AS answer_id, k <= 3 AND doc_id % 3 <> 0 AS valid, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS citations FROM q"
 )
 def citation_valid(spark, sf):
     d = corpus.documents(spark, sf)
-    a = d.where("file_id % 2 = 0").select(
+    a = d.select(
         F.col("file_id").alias("answer_id"),
         F.concat(F.lit("see "), "path", F.lit(":"), (F.col("file_id") % 7 + 1).cast("string"), F.lit("-"), (F.col("file_id") % 7 + 3).cast("string"), F.when(F.col("file_id") % 3 == 0, " and gone.txt:1").otherwise("")).alias("text"),
     )
     return extract.citations_valid(a, d.select("path", F.lit(1).alias("start"), F.lit(6).alias("end")))
 
 
-@query(r"""WITH h AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS route FROM pages) SELECT DISTINCT page_id, route FROM h""")
+#: A source with one route of each family for every document.
+_SOURCES = (
+    ("ts", "router.get('/a{}', one)\n@Post('/b{}')\nclass C {{}}\n", [(1, "GET", "/a{}"), (2, "POST", "/b{}")]),
+    ("php", "Route::any('c{}', 'x');\n#[Route('/d{}', name: 'n',\n  methods: ['PUT'])]\n", [(1, "ANY", "c{}"), (2, "PUT", "/d{}")]),
+    ("py", "urls = [path('e{}', v),\n  re_path('f{}', w)]\n", [(1, "ANY", "e{}"), (2, "ANY", "f{}")]),
+    ("go", "x\nmux.HandleFunc('/g{}', h)\n", [(2, "ANY", "/g{}")]),
+    ("rs", "app.route('/h{}', delete(h))\n#[get('/i{}')]\n", [(1, "DELETE", "/h{}"), (2, "GET", "/i{}")]),
+)
+_ROUTES_SQL = " UNION ALL ".join(
+    f"SELECT 'src/' || doc_id || '.{ext}' AS path, {line}::BIGINT AS line, '{method}' AS method, replace('{route}', '{{}}', doc_id::VARCHAR) AS route FROM documents WHERE doc_id % 5 = {i}"
+    for i, (ext, _, found) in enumerate(_SOURCES)
+    for line, method, route in found
+)
+
+
+@query(f"SELECT path, line, method, route FROM ({_ROUTES_SQL})")
 def route_extract(spark, sf):
-    p = corpus.table(spark, sf, "pages")
-    return p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="(/[^"]*)"'), F.lit(1))).alias("route")).distinct()
+    d, i = corpus.table(spark, sf, "documents"), F.col("doc_id").cast("string")
+    pick = lambda made: F.get(F.array(*made), (F.col("doc_id") % 5).cast("int"))
+    content = pick([F.replace(F.lit(text.replace("{{", "{").replace("}}", "}")), F.lit("{}"), i) for _, text, _ in _SOURCES])
+    content = F.replace(content, F.concat(F.lit("class C "), i), F.lit("class C {}"))
+    path = F.concat(F.lit("src/"), i, F.lit("."), pick([F.lit(ext) for ext, _, _ in _SOURCES]))
+    files = d.select(path.alias("path"), content.alias("content"))
+    return extract.every_route(files).select("path", F.col("line").cast("long").alias("line"), "method", "route")
 
 
 @query(

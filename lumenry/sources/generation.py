@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -121,6 +122,18 @@ def removed(previous: DataFrame, current: DataFrame) -> DataFrame:
     return previous.join(current.select("path"), "path", "left_anti")
 
 
+def path_differences(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """Paths that only one of two states has."""
+    a, b = previous.select("path"), current.select("path")
+    return a.join(b, "path", "left_anti").unionByName(b.join(a, "path", "left_anti")).distinct()
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n) of some tables."""
+    made = [t.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, made)
+
+
 def same_content(previous: DataFrame, some: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(only metadata changed, content changed), by digest."""
     p = previous.select(F.col("path").alias("_p"), F.col("content_hash").alias("_h"))

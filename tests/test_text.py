@@ -192,11 +192,16 @@ def test_parse_languages():
 
 
 def test_routes(spark):
-    rows = [("a.py", '@app.post("/loans")\n'), ("r.php", "Route::get('/books', 1);\n"), ("u.py", 'path("books/<id>", view)\n'), ("m.go", 'mux.HandleFunc("/x", f)\n'), ("s.php", "<?php\n#[Route(\n  '/multi')]\n"), ("web/app/(shop)/[id]/route.ts", "export async function GET() {}\n")]
-    got = {(r.path, r.family, r.method, r.route, r.line) for r in extract.routes(spark.createDataFrame(rows, ["path", "content"])).collect()}
-    assert ("a.py", "generic", "POST", "/loans", 1) in got and ("r.php", "static", "GET", "/books", 1) in got
-    assert ("u.py", "path", "ANY", "books/<id>", 1) in got and ("m.go", "handle", "ANY", "/x", 1) in got
-    assert ("s.php", "attribute", "ANY", "/multi", 2) in got and ("web/app/(shop)/[id]/route.ts", "next", "GET", "/:id", 1) in got
+    rows = [
+        ("a.py", '@app.post("/loans")\n'), ("r.php", "Route::get('/books', 1);\n"), ("u.py", 'path("books/<id>", view)\n'), ("m.go", 'mux.HandleFunc("/x", f)\n'),
+        ("s.php", "<?php\n#[Route(\n  '/multi', methods: ['PUT'])]\n#[Route('/bare')]\n"), ("web/app/(shop)/[id]/route.ts", "export async function GET() {}\n"), ("c.rs", '#[get("/health")]\nx.route("/y", delete(z)).get("w")\n'),
+        ("n.txt", "x.get('/not a source')"), ("l.ts", "@Controller()\nclass L {\n  @Post('/login')\n  login() {}\n  a.Get(\n '/far')}\n"),
+    ]
+    got = {(r.path, r.method, r.route, r.line) for r in extract.routes(spark.createDataFrame(rows, ["path", "content"])).collect()}
+    assert got == {
+        ("a.py", "POST", "/loans", 1), ("r.php", "GET", "/books", 1), ("u.py", "ANY", "books/<id>", 1), ("m.go", "ANY", "/x", 1), ("s.php", "PUT", "/multi", 2),
+        ("web/app/(shop)/[id]/route.ts", "GET", "/:id", 1), ("c.rs", "GET", "/health", 1), ("c.rs", "DELETE", "/y", 2), ("c.rs", "GET", "w", 2), ("l.ts", "POST", "/login", 3), ("l.ts", "GET", "/far", 5),
+    }
 
 
 def test_expand_parts(spark):
