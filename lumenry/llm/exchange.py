@@ -6,7 +6,7 @@ array of those it owns; a shard sums up the arrays of all blocks and answers
 each block with one packed array in the order that was asked.  A block then
 meets its answers and its texts again.  Nothing is broadcast or collected, a
 frequent key is one entry of each block whatever its count, and what is
-shuffled is the texts, 5 bytes a distinct key of a block, and the answers.
+shuffled is the texts, 4 bytes a distinct key of a block, and the answers.
 """
 
 from __future__ import annotations
@@ -39,9 +39,9 @@ def block_of(n: int) -> Column:
     return F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(n)).cast("long")
 
 
-#: Bytes of a key in a message.  A shard owns its part of the key space, so two keys of a
-#: shard rarely share them; where they do, their counts are added, and so never too low.
-KEY_BYTES = 5
+#: Bytes of a key in a message.  A shard owns its part of the key space, about a million keys, so
+#: one in some thousands shares them with another; their counts are added, and so never too low.
+KEY_BYTES = 4
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:

@@ -301,7 +301,8 @@ def linked_components(sets: DataFrame, *, percent: int = PERCENT, group: int = G
     up = F.floor((F.col("cut") - 1) / 2)
     family = written(family.select("node", "n", name(F.col("cut")).alias("grp"), F.when(F.col("cut") > 0, name(up)).alias("next")), "jaccard-groups", rows)
 
-    held = one.select("node", "shingles").join(family, "node")
+    # from here on only classes with company, and what their groups need of them
+    held = written(one.select("node", "shingles").join(family, "node").select("node", "n", "grp", "shingles"), "jaccard-held", rows)
     first = held.select("node", "shingles", "grp").groupBy("grp").applyInArrow(_own_group(percent), "a binary, b binary")
     links = written(first, "jaccard-links", rows)
     comp = components(family, links, rows)
@@ -311,27 +312,29 @@ def linked_components(sets: DataFrame, *, percent: int = PERCENT, group: int = G
         batches = queries.groupBy("grp").agg(_cuts("n", BATCH).alias("batches"))
         sized = batches.select(F.col("grp").alias("_grp"), "batches")
         dealt = queries.join(sized, F.col("grp") == F.col("_grp")).select("node", "grp", F.pmod(F.xxhash64("node"), F.col("batches")).alias("batch"))
-        full = one.select("node", "shingles").join(comp, "node")
+        full = held.select("node", "shingles", F.col("grp").alias("own")).join(comp, "node")
         asked = dealt.join(full, "node").select("grp", "batch", "node", "comp", "shingles")
-        members = full.join(family.select("node", "grp"), "node").join(sized, F.col("grp") == F.col("_grp"))
+        members = full.withColumnRenamed("own", "grp").join(sized, F.col("grp") == F.col("_grp"))
         members = members.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1)).alias("batch"), "node", "comp", "shingles")
         fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  both sides come from one table
         asked, members = fresh(asked), fresh(members)
         return asked.groupBy("grp", "batch").cogroup(members.groupBy("grp", "batch")).applyInArrow(_other_group(percent), "a binary, b binary")
 
-    beside = written(against(family.where("next is not null").select("node", "n", F.col("next").alias("grp")), comp), "jaccard-links", rows)
+    beside = family.where("next is not null").select("node", "n", F.col("next").alias("grp"))
     if not beside.isEmpty():
-        links = links.union(beside)
+        links = links.union(written(against(beside, comp), "jaccard-links", rows))
         comp = components(family, links, rows)
 
     # the rest: components of a pair differ; the lower-ranked side asks
     rank = comp.groupBy("comp").agg(F.count("*").alias("c")).select(F.col("comp").alias("_comp"), F.struct("c", "comp").alias("rank"))
     ranked = comp.join(rank, F.col("comp") == F.col("_comp")).select("node", "rank").join(family.select("node", "grp"), "node")
-    held = tokens.select("token", "node", "n").join(ranked, "node")
-    matrix = held.groupBy("token", "grp").agg(F.max("rank").alias("top"), F.min("n").alias("low"), F.max("n").alias("high"))
+    placed = tokens.select("token", "node", "n").join(ranked, "node")
+    matrix = placed.groupBy("token", "grp").agg(F.max("rank").alias("top"), F.min("n").alias("low"), F.max("n").alias("high"))
     matrix = matrix.select(F.col("token").alias("_token"), F.col("grp").alias("other"), "top", "low", "high")
     meets = (F.col("token") == F.col("_token")) & (F.col("top") > F.col("rank")) & _comparable("low", "high", "n", percent)
-    queries = written(held.join(matrix, meets).select("node", "n", F.col("other").alias("grp")).distinct(), "jaccard-queries", entries)
+    queries = written(placed.join(matrix, meets).select("node", "n", F.col("other").alias("grp")).distinct(), "jaccard-queries", entries)
+    if queries.isEmpty():
+        return comp
     last = written(against(queries, comp), "jaccard-links", rows)
     return comp if last.isEmpty() else components(family, links.union(last), rows)
 
