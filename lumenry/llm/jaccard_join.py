@@ -53,7 +53,7 @@ GROUP = 256
 BATCH = 512
 #: Shingles of a group, and of a batch of queries.
 TOKENS = 1 << 18
-#: Ids of dropped rows that are sent to every executor at most.
+#: Rows of ids that are sent to every executor at most; more meet the other side in a shuffle.
 SENT = 250_000
 #: A class with this share of the rows meets them in a broadcast; so there are no more of those than the divisor.
 OFTEN = 1_000
@@ -301,20 +301,23 @@ def linked_components(sets: DataFrame, *, percent: int = PERCENT, group: int = G
     up = F.floor((F.col("cut") - 1) / 2)
     family = written(family.select("node", "n", name(F.col("cut")).alias("grp"), F.when(F.col("cut") > 0, name(up)).alias("next")), "jaccard-groups", rows)
 
+    def sent(df: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(df) if n <= SENT else df
+
     # from here on only classes with company, and what their groups need of them
-    held = written(one.select("node", "shingles").join(family, "node").select("node", "n", "grp", "shingles"), "jaccard-held", rows)
+    held = written(one.select("node", "shingles").join(sent(family, rows), "node").select("node", "n", "grp", "shingles"), "jaccard-held", rows)
     first = held.select("node", "shingles", "grp").groupBy("grp").applyInArrow(_own_group(percent), "a binary, b binary")
     links = written(first, "jaccard-links", rows)
     comp = components(family, links, rows)
 
-    def against(queries: DataFrame, comp: DataFrame) -> DataFrame:
-        """Links found by queries (node, n, grp): each against all members of the group."""
+    def against(queries: DataFrame, comp: DataFrame, many: int) -> DataFrame:
+        """Links found by ``many`` queries (node, n, grp): each against all members of the group."""
         batches = queries.groupBy("grp").agg(_cuts("n", BATCH).alias("batches"))
         sized = batches.select(F.col("grp").alias("_grp"), "batches")
         dealt = queries.join(sized, F.col("grp") == F.col("_grp")).select("node", "grp", F.pmod(F.xxhash64("node"), F.col("batches")).alias("batch"))
-        full = held.select("node", "shingles", F.col("grp").alias("own")).join(comp, "node")
-        asked = dealt.join(full, "node").select("grp", "batch", "node", "comp", "shingles")
-        members = full.withColumnRenamed("own", "grp").join(sized, F.col("grp") == F.col("_grp"))
+        full = held.select("node", "shingles", F.col("grp").alias("own")).join(sent(comp, rows), "node")
+        asked = full.join(sent(dealt, many), "node").select("grp", "batch", "node", "comp", "shingles")
+        members = full.withColumnRenamed("own", "grp").join(sent(sized, rows), F.col("grp") == F.col("_grp"))
         members = members.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1)).alias("batch"), "node", "comp", "shingles")
         fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  both sides come from one table
         asked, members = fresh(asked), fresh(members)
@@ -322,7 +325,7 @@ def linked_components(sets: DataFrame, *, percent: int = PERCENT, group: int = G
 
     beside = family.where("next is not null").select("node", "n", F.col("next").alias("grp"))
     if not beside.isEmpty():
-        links = links.union(written(against(beside, comp), "jaccard-links", rows))
+        links = links.union(written(against(beside, comp, rows), "jaccard-links", rows))
         comp = components(family, links, rows)
 
     # the rest: components of a pair differ; the lower-ranked side asks
@@ -333,9 +336,10 @@ def linked_components(sets: DataFrame, *, percent: int = PERCENT, group: int = G
     matrix = matrix.select(F.col("token").alias("_token"), F.col("grp").alias("other"), "top", "low", "high")
     meets = (F.col("token") == F.col("_token")) & (F.col("top") > F.col("rank")) & _comparable("low", "high", "n", percent)
     queries = written(placed.join(matrix, meets).select("node", "n", F.col("other").alias("grp")).distinct(), "jaccard-queries", entries)
-    if queries.isEmpty():
+    many = queries.count()
+    if not many:
         return comp
-    last = written(against(queries, comp), "jaccard-links", rows)
+    last = written(against(queries, comp, many), "jaccard-links", rows)
     return comp if last.isEmpty() else components(family, links.union(last), rows)
 
 
